@@ -26,7 +26,7 @@ FILE = "byte_bpe_50k.json"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than the space and the line feed; a text that has some is cut by the pattern alone.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 32
 NONE = 1 << 62
 
 
@@ -86,13 +86,18 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
 
 
 class Words(dict):
-    """Ids by the word that follows a space, in two generations: full, the younger becomes the older, which is looked into before a word is encoded anew."""
+    """Ids by word, in two generations: full, the younger becomes the older, which is looked into before a word is encoded anew.
 
-    def __init__(self, encode):
+    A stop or comma after a letter or digit is a piece by itself at a word's end, so that the word before it is looked up without it.
+    """
+
+    def __init__(self, encode, tails: dict):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.tails, self.older = encode, tails, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str):
+        if len(word) > 1 and word[-1] in self.tails and word[-2].isalnum():
+            return self[word[:-1]] + self.tails[word[-1]]
         ids = self.older.get(word)
         if ids is None:
             ids = self.encode(word)
@@ -121,7 +126,17 @@ class ByteBPE:
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.piece = piece_encoder or self.by_tree
-        self.after_space = Words(lambda word: tuple(self.by_pieces(" " + word)))
+        tails = {x: (self.of_byte[ord(x)],) for x in ".,"}
+        self.line_end = (self.of_byte[ord("\n")],)
+        self.line_start = Words(lambda word: tuple(self.by_pieces(word)), tails)
+        self.after_space = Words(self.spaced, tails)
+
+    def spaced(self, word: str) -> tuple[int, ...]:
+        """Ids of a space and the word, which may hold a line feed."""
+        a, _, b = word.partition("\n")
+        if a and b and "\n" not in b:
+            return self.after_space[a] + self.line_end + self.line_start[b]
+        return tuple(self.by_pieces(" " + word))
 
     def by_tree(self, piece: str) -> list[int]:
         return merge_all([self.of_byte[b] for b in piece.encode("utf-8")], self.merges)

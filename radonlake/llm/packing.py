@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ PARTS, PART_PIECES, MOST_PARTS = 64, 200_000, 4096
 
 
 class FastBPE(bpe.ByteBPE):
-    """The same ids; words that the cache lacks go to a compiled encoder of the same vocabulary."""
+    """The same ids, from a compiled encoder of the same vocabulary and pattern."""
 
     def __init__(self, path: str, ranks_path: str):
         import tiktoken
@@ -35,15 +34,7 @@ class FastBPE(bpe.ByteBPE):
         super().__init__(path)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.by_pieces = tiktoken.Encoding("own", pat_str=bpe.PIECES.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def ordinary(self, text: str) -> list[int]:
-        if "  " in text or " \n" in text or "\n " in text or bpe.ODD_SPACE.search(text):
-            return self.by_pieces(text)
-        words = text.split(" ")
-        ids = self.by_pieces(words[0])
-        ids.extend(chain.from_iterable(map(self.after_space.__getitem__, words[1:])))
-        return ids
+        self.ordinary = tiktoken.Encoding("own", pat_str=bpe.PIECES.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @functools.lru_cache(2)

@@ -27,7 +27,7 @@ from . import common
 from .bpe import Words, byte_alphabet
 
 FILE, END_ID = "word_bpe_49k.json", 2
-SHARD_IDS, ROUNDS, LEAST, MOST_SYMBOLS, PER_ROUND = 1_000_000, 4, 12, 1 << 16, 6000
+SHARD_IDS, ROUNDS, LEAST, MOST_SYMBOLS, PER_ROUND, TABLE_BITS = 1_000_000, 4, 12, 1 << 16, 6000, 20
 #: Texts with these are encoded whole by the library: their treatment depends on more than one word.
 WHOLE = re.compile("[\x1c-\x1f\x85Σ]|<\\|")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -60,7 +60,7 @@ class WordCoder:
         special = {x["content"] for x in made["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end): i for token, i in vocab.items() if token not in special}
         self.bpe = tiktoken._tiktoken.CoreBPE(ranks | {b"\xff": self.base}, {}, r"\S+")
-        self.words = Words(self.word)
+        self.words = Words(self.word, {x: self.word(x) for x in ".,"})
 
     def word(self, word: str) -> bytes:
         ids: list[int] = []
@@ -79,6 +79,10 @@ def coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def hashed(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+
+
 def repair(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
     """The symbols that remain, and for each round the pairs (as left << 16 | right) that its new symbols stand for."""
     seq, rules, first = ids.astype(np.uint32), [], base
@@ -100,12 +104,13 @@ def repair(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, least:
         if not len(often):
             break
         chosen = ordered[starts[often]]
-        left, right = np.zeros(MOST_SYMBOLS, bool), np.zeros(MOST_SYMBOLS, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        left[end_id] = False
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        rule = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == keys[at]
+        # A table by hashed pair holds the number of a chosen pair, or of one that shares its place, which is told by comparison.
+        table = np.full(1 << TABLE_BITS, -1, np.int16)
+        table[hashed(chosen)] = np.arange(len(chosen), dtype=np.int16)
+        rule = table[hashed(keys)]
+        at = np.flatnonzero((rule >= 0) & inner)
+        rule = rule[at]
+        hit = chosen[rule] == keys[at]
         at, rule = at[hit], rule[hit]
         head = np.concatenate(([True], np.diff(at) != 1))  # overlapping pairs: every second one from the left
         run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
