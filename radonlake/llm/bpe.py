@@ -26,7 +26,7 @@ FILE = "byte_bpe_50k.json"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than the space and the line feed; a text that has some is cut by the pattern alone.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE_WORDS, CACHE_CHARS = 300_000, 32
+CACHE_WORDS, CACHE_CHARS, RENEW = 500_000, 32, 8
 NONE = 1 << 62
 
 
@@ -86,26 +86,26 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
 
 
 class Words(dict):
-    """Ids by word, in two generations: full, the younger becomes the older, which is looked into before a word is encoded anew.
+    """Ids by word. Full, it takes no more words in, until as many as RENEW times its size have been encoded anew; then it starts afresh.
 
     A stop or comma after a letter or digit is a piece by itself at a word's end, so that the word before it is looked up without it.
     """
 
     def __init__(self, encode, tails: dict):
         super().__init__()
-        self.encode, self.tails, self.older = encode, tails, {}
+        self.encode, self.tails, self.missed = encode, tails, 0
 
     def __missing__(self, word: str):
-        if len(word) > 1 and word[-1] in self.tails and word[-2].isalnum():
-            return self[word[:-1]] + self.tails[word[-1]]
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
+        tail = self.tails.get(word[-1:])
+        ids = self[word[:-1]] + tail if tail is not None and word[-2:-1].isalnum() else self.encode(word)
+        if len(self) < CACHE_WORDS:
+            if len(word) <= CACHE_CHARS:
+                self[word] = ids
+        else:
+            self.missed += 1
+            if self.missed > RENEW * CACHE_WORDS:
+                self.missed = 0
                 self.clear()
-            self[word] = ids
         return ids
 
 

@@ -29,7 +29,7 @@ from .bpe import Words, byte_alphabet
 FILE, END_ID = "word_bpe_49k.json", 2
 SHARD_IDS, ROUNDS, LEAST, MOST_SYMBOLS, PER_ROUND, TABLE_BITS = 1_000_000, 4, 12, 1 << 16, 6000, 20
 #: Texts with these are encoded whole by the library: their treatment depends on more than one word.
-WHOLE = re.compile("[\x1c-\x1f\x85Σ]|<\\|")
+WHOLE = re.compile("[\x1c-\x1f\x85Σ]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MAGIC = b"RPG1"
 
@@ -69,7 +69,7 @@ class WordCoder:
         return array("H", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if WHOLE.search(text):
+        if "<|" in text or WHOLE.search(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
