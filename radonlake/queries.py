@@ -216,7 +216,7 @@ add("em_2it", lambda s, d: recon.EM(Projector(s, PAR, V), sino(s, d)).run(2), q.
 # Elementwise operators.
 _BOTH = "SELECT vol.r, vol.c, vol.v AS o, coalesce(other.v, 0) AS a, coalesce(other.v, 0) AS b FROM vol LEFT JOIN other USING (r, c)"
 for _n, _form in elementwise.FORMS.items():
-    add(f"op_{_n}", lambda s, d, n=_n: elementwise.apply(n, vol(s, d), vol(s, d, OTHER_KEYS), vol(s, d, OTHER_KEYS), 0.75), q.query([VOL, OTHER], "r c", "v", f"SELECT r, c, {_form.format(s='0.75e0')} AS v FROM ({_BOTH})", 7), 7)
+    add(f"op_{_n}", lambda s, d, n=_n: elementwise.apply(n, vol(s, d), vol(s, d, OTHER_KEYS), vol(s, d, OTHER_KEYS), 0.75), q.query([VOL, OTHER], "r c", "v", f"SELECT r, c, {_form.format(s='0.75e0')} AS v FROM ({_BOTH})", 9), 9)
 for _n, _e in (("mul", "$1 * s1"), ("div", "$1 ./ s1"), ("add", "$1 + s1"), ("sub", "$1 - s1"), ("muldata", "$1 .* $2"), ("adddata", "$1 + $2")):
     add(f"data_op_{_n}", lambda s, d, e=_e: elementwise.data_op(e, vol(s, d), vol(s, d, OTHER_KEYS), 1.5), q.query([VOL, OTHER], "r c", "v", f"SELECT r, c, {elementwise.data_op_form(_e).format(s='1.5e0')} AS v FROM ({_BOTH})"))
 add("data_op_mul_mask", lambda s, d: elementwise.data_op("$1*s1", vol(s, d), None, 1.5, mask_of(s, d)), q.query([VOL, OTHER, MASK], "r c", "v", "SELECT r, c, CASE WHEN coalesce(m, 0) <> 0 THEN v * 1.5e0 ELSE v END AS v FROM vol LEFT JOIN mask USING (r, c)"))
