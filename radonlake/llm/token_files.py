@@ -2,7 +2,7 @@
 
 A shard holds the ids of some consecutive documents. Rounds replace the pairs of neighbours that are frequent in
 the shard by new symbols, many pairs in a round, from left to right where they overlap; a pair never spans two
-documents, as none begins with the end id. The file keeps the rules by round, each symbol's expansion length, the
+documents, as its left symbol never ends in the end id. The file keeps the rules by round, each symbol's expansion length, the
 remaining symbols and, for each document, where its symbols begin, so that one document is decoded by itself.
 Shards are rows of a Parquet table, which Spark writes to and reads from any store.
 """
@@ -86,13 +86,15 @@ def hashed(pairs: np.ndarray) -> np.ndarray:
 def repair(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
     """The symbols that remain, and for each round the pairs (as left << 16 | right) that its new symbols stand for."""
     seq, rules, first = ids.astype(np.uint32), [], base
+    last = np.zeros(MOST_SYMBOLS, bool)  # symbols that end a document
+    last[end_id] = True
     for _ in range(rounds):
         room = min(PER_ROUND, MOST_SYMBOLS - first)
         if room <= 0 or len(seq) < 2:
             break
         keys = seq[:-1] << 16
         keys |= seq[1:]
-        inner = seq[:-1] != end_id
+        inner = ~last[seq[:-1]]
         ordered = np.sort(keys[inner])
         if not ordered.size:
             break
@@ -126,7 +128,8 @@ def repair(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, least:
         keep[at + 1] = False
         seq = seq[keep]
         rules.append(chosen[used])
-        first += int(used.sum())
+        last[first : first + len(rules[-1])] = last[rules[-1] & 0xFFFF]
+        first += len(rules[-1])
     return seq, rules
 
 
