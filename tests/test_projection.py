@@ -160,3 +160,18 @@ def test_dart_finds_levels(spark, box):
     found = arrays.to_array(dart.dart(p, p.fp(box), [0.0, 1.0], [0.5], 1, 6, 2), V.shape)
     assert set(np.unique(found)) <= {0.0, 1.0} and np.abs(found - BOX).sum() <= 6
     p.release()
+
+
+@pytest.mark.parametrize("kernel", ["line", "linear", "strip", "distance_driven"])
+def test_dense_blocks_agree(spark, box, kernel):
+    from radonlake.plans import dense
+
+    p = Projector(spark, PAR, V, kernel)
+    sino = p.fp(box).cache()
+    sweep = dense.Sweep(spark, PAR, V, kernel)
+    assert arrays.to_array(sweep.pass_over(BOX, "project"), PAR.shape) == pytest.approx(arrays.to_array(sino, PAR.shape), abs=1e-9)
+    if kernel == "strip":
+        full = p.rays().join(sino, ["a", "d"], "left").fillna(0.0)
+        a, b = dense.sirt(spark, PAR, V, kernel, full, 3), recon.SIRT(p, full).run(3)
+        assert arrays.to_array(a, V.shape) == pytest.approx(arrays.to_array(b, V.shape), abs=1e-9)
+        p.release()
