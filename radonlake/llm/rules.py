@@ -23,6 +23,8 @@ FLOOR = {"symbols": 0.16, "lines": 0.16, "repeats": 0.16, "size": 0.16}
 CUTOFF, LEAST_ROWS = 30.0, 40
 #: What a median absolute deviation of normal rows is multiplied by, and the share of its scatter that their nearest KEEP have in four dimensions.
 NORMAL_MAD, TRIMMED = 1.4826, 0.617
+#: Groups whose estimates (some 300 bytes each) are sent to all executors; parts of a group beyond that.
+MOST_SENT, SALTS = 20_000, 32
 STATS = tuple(FLOOR)
 
 
@@ -88,18 +90,25 @@ def _factors(estimates: DataFrame, scatter) -> DataFrame:
     return d.select("g", F.struct("n", *(f"m_{i}" for i in range(n)), *(f"v_{i}_{j}" for i in range(n) for j in range(i + 1))).alias("e"))
 
 
+def by_group(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with their groups' estimates: sent to all executors while there are few, else met in SALTS parts of each group."""
+    if estimates.count() <= MOST_SENT:
+        return rows.join(F.broadcast(estimates), "g", how)
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return salted.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["g", "salt"], how).drop("salt")
+
+
 def estimate(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
     """(g, e): location and scatter of each group g of rows (g and the statistics), by concentration steps."""
     grid = [F.round(c, 3).alias(c) for c in STATS]
     middle = rows.select("g", *grid).groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(c, F.lit(0.5)).alias(f"m_{i}") for i, c in enumerate(STATS)))
     middle = common.cut(middle)
-    spread = rows.join(middle, "g").groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(c) - F.col(f"m_{i}")), 3), F.lit(0.5)).alias(f"d_{i}") for i, c in enumerate(STATS)))
+    spread = by_group(rows, middle).groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(c) - F.col(f"m_{i}")), 3), F.lit(0.5)).alias(f"d_{i}") for i, c in enumerate(STATS)))
     now = common.cut(_factors(middle.join(spread, "g"), lambda i, j: (NORMAL_MAD * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)))
     for _ in range(steps):
-        far = rows.join(now, "g").select("g", "e", *STATS, F.least(F.round(distance("e"), 2), F.lit(1000.0)).alias("far"))
+        far = by_group(rows, now).select("g", "e", *STATS, F.least(F.round(distance("e"), 2), F.lit(1000.0)).alias("far"))
         cut = far.groupBy("g").agg(F.percentile("far", F.lit(keep)).alias("cut"))
-        cut = common.cut(cut)
-        inner = rows.join(now.join(cut, "g"), "g").where(F.round(distance("e"), 2) <= F.col("cut"))
+        inner = by_group(rows, common.cut(now.join(cut, "g"))).where(F.round(distance("e"), 2) <= F.col("cut"))
         made = inner.groupBy("g").agg(
             F.max("e.n").alias("n"),
             *(F.avg(c).alias(f"m_{i}") for i, c in enumerate(STATS)),
@@ -123,7 +132,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = estimate(rows)
     own = found.where((F.col("e.n") >= LEAST_ROWS) & (F.col("g") != "all"))
     whole = found.where("g = 'all'").select(F.col("e").alias("w"))
-    joined = d.join(own, "g", "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    joined = by_group(d, common.cut(own), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
     far = F.coalesce(distance("e"), distance("w"), F.lit(0.0))
     return joined.withColumn("distance", far).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))
 
