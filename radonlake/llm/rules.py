@@ -18,9 +18,9 @@ SPACES = " \t\n\x0b\f\r"
 MIN_WORDS, MOST_REPEATED = 50, 50
 KEEP, STEPS = 0.75, 3
 #: Least standard deviation of each statistic: a group whose rows are all alike rejects nothing near them.
-FLOOR = {"symbols": 0.16, "lines": 0.16, "repeats": 0.16, "size": 0.16}
+FLOOR = {"symbols": 0.12, "lines": 0.2, "repeats": 0.25, "size": 0.16}
 #: Squared distance beyond which a row is an outlier; rows below which a group takes the whole table's estimate.
-CUTOFF, LEAST_ROWS = 30.0, 40
+CUTOFF, LEAST_ROWS = 20.0, 40
 #: What a median absolute deviation of normal rows is multiplied by, and the share of its scatter that their nearest KEEP have in four dimensions.
 NORMAL_MAD, TRIMMED = 1.4826, 0.617
 #: Groups whose estimates (some 300 bytes each) are sent to all executors; parts of a group beyond that.
