@@ -37,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, with files that outlive an executor."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Computes df once and cuts its lineage, with files that outlive an executor. parts: how many files at most, for tables known to be small."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Links that a file of a round holds, about.
+LINKS_A_FILE = 100_000
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour instead."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,4 +40,4 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return links
         seen = state
-        links = common.cut(_small_star(_large_star(links)))
+        links = common.cut(_small_star(_large_star(links)), max(8, state[0] // LINKS_A_FILE))

@@ -25,6 +25,8 @@ CUTOFF, LEAST_ROWS = 20.0, 40
 NORMAL_MAD, TRIMMED = 1.4826, 0.617
 #: Groups whose estimates (some 300 bytes each) are sent to all executors; parts of a group beyond that.
 MOST_SENT, SALTS = 20_000, 32
+#: Files of a table of estimates, a row for each group.
+FILES = 8
 STATS = tuple(FLOOR)
 
 
@@ -102,19 +104,19 @@ def estimate(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFra
     """(g, e): location and scatter of each group g of rows (g and the statistics), by concentration steps."""
     grid = [F.round(c, 3).alias(c) for c in STATS]
     middle = rows.select("g", *grid).groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(c, F.lit(0.5)).alias(f"m_{i}") for i, c in enumerate(STATS)))
-    middle = common.cut(middle)
+    middle = common.cut(middle, FILES)
     spread = by_group(rows, middle).groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col(c) - F.col(f"m_{i}")), 3), F.lit(0.5)).alias(f"d_{i}") for i, c in enumerate(STATS)))
-    now = common.cut(_factors(middle.join(spread, "g"), lambda i, j: (NORMAL_MAD * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)))
+    now = common.cut(_factors(middle.join(spread, "g"), lambda i, j: (NORMAL_MAD * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)), FILES)
     for _ in range(steps):
         far = by_group(rows, now).select("g", "e", *STATS, F.least(F.round(distance("e"), 2), F.lit(1000.0)).alias("far"))
         cut = far.groupBy("g").agg(F.percentile("far", F.lit(keep)).alias("cut"))
-        inner = by_group(rows, common.cut(now.join(cut, "g"))).where(F.round(distance("e"), 2) <= F.col("cut"))
+        inner = by_group(rows, common.cut(now.join(cut, "g"), FILES)).where(F.round(distance("e"), 2) <= F.col("cut"))
         made = inner.groupBy("g").agg(
             F.max("e.n").alias("n"),
             *(F.avg(c).alias(f"m_{i}") for i, c in enumerate(STATS)),
             *(F.covar_pop(STATS[i], STATS[j]).alias(f"c_{i}_{j}") for i in range(len(STATS)) for j in range(i + 1)),
         )
-        now = common.cut(_factors(made, lambda i, j: F.col(f"c_{i}_{j}") / TRIMMED))
+        now = common.cut(_factors(made, lambda i, j: F.col(f"c_{i}_{j}") / TRIMMED), FILES)
     return now
 
 
@@ -132,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = estimate(rows)
     own = found.where((F.col("e.n") >= LEAST_ROWS) & (F.col("g") != "all"))
     whole = found.where("g = 'all'").select(F.col("e").alias("w"))
-    joined = by_group(d, common.cut(own), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    joined = by_group(d, common.cut(own, FILES), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
     far = F.coalesce(distance("e"), distance("w"), F.lit(0.0))
     return joined.withColumn("distance", far).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))
 

@@ -187,7 +187,7 @@ def near_links(distinct: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
 
     rows = spread(distinct, {0: masks})
     while True:
-        full = common.cut(rows.groupBy("mask", "value").count().where(F.col("count") > NODE).select("mask", "value"))
+        full = common.cut(rows.groupBy("mask", "value").count().where(F.col("count") > NODE).select("mask", "value"), 8)
         last = BITS - masks[0].bit_count() <= 16
         done = last or full.isEmpty()
         now = rows if done else rows.join(full, ["mask", "value"], "left_anti")
