@@ -122,11 +122,11 @@ _SIZE = filters.size_for(DETECTORS)
 _HALF = [1 / (1 + k) for k in range(_SIZE // 2 + 1)]
 _SPACE = [1 / (1 + abs(k - 8)) for k in range(17)]
 for _kind, _taps in (("projection", filters.taps_of_custom("projection", _HALF, DETECTORS)), ("rprojection", filters.taps_of_custom("rprojection", _SPACE, DETECTORS))):
-    add(f"filter_custom_{_kind}", lambda s, d, t=_taps: filters.filter_rows(sino(s, d), t, DETECTORS), q.query([SINO, *q.filtered(_taps, DETECTORS)], "a d", "p", "SELECT * FROM filtered", 7), 7)
+    add(f"filter_custom_{_kind}", lambda s, d, t=_taps: filters.filter_rows(sino(s, d), t, DETECTORS), q.query([SINO, *q.filtered(_taps, DETECTORS)], "a d", "p", "SELECT * FROM filtered", 9), 9)
 for _kind, _base in (("sinogram", _HALF), ("rsinogram", _SPACE)):
     _by = {a: filters.taps_of_custom(_kind, [x * (1 + a / 4) for x in _base], DETECTORS) for a in range(VIEWS)}
     _rows = values((a, m, h) for a, t in _by.items() for m, h in sorted(t.items()))
-    add(f"filter_custom_{_kind}", lambda s, d, t=_by: filters.filter_rows(sino(s, d), t, DETECTORS), q.query([SINO, f"taps(a, m, h) AS (VALUES {_rows})"], "a d", "p", f"SELECT s.a, o.d, sum(s.p * t.h) AS p FROM sino s, {q.upto(DETECTORS, 'd')} o JOIN taps t ON t.a = s.a AND t.m = o.d - s.d GROUP BY ALL", 7), 7)
+    add(f"filter_custom_{_kind}", lambda s, d, t=_by: filters.filter_rows(sino(s, d), t, DETECTORS), q.query([SINO, f"taps(a, m, h) AS (VALUES {_rows})"], "a d", "p", f"SELECT s.a, o.d, sum(s.p * t.h) AS p FROM sino s, {q.upto(DETECTORS, 'd')} o JOIN taps t ON t.a = s.a AND t.m = o.d - s.d GROUP BY ALL", 9), 9)
 add("filter_none", lambda s, d: sino(s, d), q.query([SINO], "a d", "p", "SELECT * FROM sino"))
 _SCALE = num(math.pi / (2 * VIEWS))
 add("fbp_ramlak", lambda s, d: recon.fbp(Projector(s, PAR, V), sino(s, d)), q.query([*_W, SINO, *q.filtered(q.spectrum_taps("ram-lak", DETECTORS), DETECTORS)], "r c", "v", f"SELECT r, c, sum(w * p) * {_SCALE} AS v FROM w JOIN filtered USING (a, d) GROUP BY ALL"))
