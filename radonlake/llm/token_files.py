@@ -64,13 +64,15 @@ class WordCoder:
 
     def word(self, word: str) -> bytes:
         ids: list[int] = []
-        for piece in PIECES.findall(unicodedata.normalize("NFC", word).lower()):
+        for piece in PIECES.findall(word):
             ids += self.bpe.encode_single_piece(piece.encode("utf-8") + b"\xff")
         return array("H", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or WHOLE.search(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if not text.isascii():  # composed before it is lower-cased, as the library does: the other order can order marks differently
+            text = unicodedata.normalize("NFC", text)
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 

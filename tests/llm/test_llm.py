@@ -166,6 +166,17 @@ def test_token_files(spark, docs, empty, tmp_path, monkeypatch):
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_word_ids_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = common.load_tokenizer_path(token_files.FILE)
+    own, ours, r = Tokenizer.from_file(path), token_files.WordCoder(path), random.Random(2)
+    letters = [*" \n\t\u2028\x1cadIiKST9.,'éÅİΣςſǅẞ한ᄒ", "I\u0307", "\u0307", "\u032f", "\u0345", "'ll", "don't", "<|endoftext|>"]
+    for _ in range(3000):
+        s = "".join(r.choices(letters, k=r.randint(0, 14)))
+        assert np.frombuffer(ours.encode(s), "<u2").tolist() == own.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 5000):
