@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 SIZE, END_ID = 2048, 0
+#: A run of white space from which the compiled pattern may run out of its stack; such texts are cut into pieces here.
+LONG_RUN = 100_000
+_LONG = re.compile(r"\s{%d}" % LONG_RUN)
 #: Pieces of one length are ranked in this many parts at least, and in one for each so many pieces of the corpus.
 PARTS, PART_PIECES, MOST_PARTS = 64, 200_000, 4096
 
@@ -31,10 +35,14 @@ class FastBPE(bpe.ByteBPE):
     def __init__(self, path: str, ranks_path: str):
         import tiktoken
 
-        super().__init__(path)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ordinary = tiktoken.Encoding("own", pat_str=bpe.PIECES.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        core = tiktoken._tiktoken.CoreBPE(ranks, {}, bpe.PIECES.pattern)
+        super().__init__(path, lambda piece: core.encode_single_piece(piece.encode("utf-8")))
+        self.whole = tiktoken.Encoding("own", pat_str=bpe.PIECES.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ordinary(self, text: str) -> list[int]:
+        return self.by_pieces(text) if len(text) >= LONG_RUN and _LONG.search(text) else self.whole(text)
 
 
 @functools.lru_cache(2)

@@ -198,6 +198,8 @@ def test_bpe(docs, empty):
         s = "".join(r.choice(letters) for _ in range(r.randint(0, 14)))
         ids = own.encode(s, add_special_tokens=False).ids
         assert ours.encode(s) == ids == fast.encode(s) and ours.decode(ids) == own.decode(ids, skip_special_tokens=False), repr(s)
+    for s in (" " * 1_500_000, "a\n" + "\n" * 1_500_000 + " b<|endoftext|>", " \xa0" * 60_000):
+        assert fast.encode(s) == own.encode(s, add_special_tokens=False).ids
     for row in bpe.encode_decode(docs).collect():
         text = row.decoded
         assert row.ids == own.encode(text, add_special_tokens=False).ids
