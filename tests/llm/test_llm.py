@@ -350,6 +350,57 @@ def test_pipeline_keeps_columns(spark):
     assert {x.doc_id for x in out} == {x.doc_id for x in now.collect()}
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage's rows from its own input, without the operators' plans."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    kept = [common.documents(spark, d)]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], d).write.parquet(str(tmp_path / str(k)))
+        kept.append(spark.read.parquet(str(tmp_path / str(k))))
+    source, good, lines, distinct, clean, packed = (x.collect() for x in kept)
+    texts = lambda rows: {x.doc_id: x.text for x in rows}
+
+    model = quality.fit_labelled(kept[0], spark.read.parquet(f"{d}/labels.parquet"))
+    score = {x.doc_id: model.scores(quality.statistics((x.text or "").encode()).astype(np.float32).astype(float)[None])[0] for x in source}
+    assert texts(good) == {i: t for i, t in texts(source).items() if round(score[i], 9) >= 0.7} and 0 < len(good) < len(source)
+
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(UP)
+    often = Counter(k for x in good for k in {key(y) for y in (x.text or "").split("\n")} if k)
+    assert texts(lines) == {x.doc_id: "\n".join(y for y in (x.text or "").split("\n") if often[key(y)] < 10) for x in good}
+    assert all(x.n_chars == len(x.text) for x in lines)
+
+    prints = {x.doc_id: fingerprint_slow(x.text) for x in lines}
+    first = {f: min(i for i, g in prints.items() if g in reach(f, set(prints.values()))) for f in set(prints.values())}
+    assert texts(distinct) == {i: t for i, t in texts(lines).items() if first[prints[i]] == i} and len(distinct) < len(lines)
+
+    slow = {}
+    for x in distinct:
+        hidden, out = bytearray(len(x.text)), ""
+        for a, _, b in sorted(secrets.find(x.text, secrets.default_model()), key=lambda s: (s[0], -s[2])):
+            hidden[a:b] = bytes([1 if not any(hidden[a : a + 1]) else 2]) + b"\2" * (b - a - 1)
+        for c, h in zip(x.text, hidden, strict=True):
+            out += c if not h else "[SECRET]" if h == 1 else ""
+        slow[x.doc_id] = out
+    assert texts(clean) == slow and any("[SECRET]" in t for t in slow.values())
+
+    own, places, rest = Tokenizer.from_file(common.load_tokenizer_path(bpe.FILE)), defaultdict(list), {}
+    for x in clean:
+        rest[x.doc_id] = [*own.encode(x.text, add_special_tokens=False).ids, 0]
+    covered = defaultdict(list)
+    for x in packed:
+        assert zlib.crc32(np.array(rest[x.doc_id][x.start : x.start + x.length], "<u4").tobytes()) == x.ids_crc32
+        places[x.sequence_id].append((x.offset, x.length))
+        covered[x.doc_id].append((x.start, x.length))
+    for found, size in [*((v, None) for v in places.values()), *((covered[i], len(ids)) for i, ids in rest.items())]:
+        found.sort()
+        ends = [0, *(a + n for a, n in found)]
+        assert [a for a, _ in found] == ends[:-1] and (ends[-1] == size if size is not None else ends[-1] <= 2048)
+    assert covered.keys() == rest.keys()
+
+
 def test_registry():
     from radonlake.llm import registry
 
