@@ -288,7 +288,7 @@ def table_of(rows, names: str):
 
 def rotated(k: str, terms: list[str], angles: list[float], names: str) -> str:
     """Vectors by the angle in SQL, independent of the driver's code."""
-    return f"WITH t(a, t) AS (VALUES {values(enumerate(angles))}) SELECT a, " + ", ".join(f"round({x}, 4) + 0.0 AS {n}" for x, n in zip(terms, names.split(), strict=True)) + " FROM t"
+    return f"WITH t(a, t) AS (VALUES {values(enumerate(angles))}) SELECT a, " + ", ".join(f"CAST(round({x}, 4) + 0.0 AS DOUBLE) AS {n}" for x, n in zip(terms, names.split(), strict=True)) + " FROM t"
 
 
 add("geom_2vec_parallel", table_of([(k, *x) for k, x in enumerate(geo.geom_2vec(PAR).tolist())], "a x0 x1 x2 x3 x4 x5"), rotated("parallel", ["-sin(t)", "cos(t)", "0", "0", "cos(t)", "sin(t)"], ANGLES, "x0 x1 x2 x3 x4 x5"))
