@@ -18,7 +18,7 @@ from . import common
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regular expression over words with single spaces between; keyword: words that each match has. Priority 0 is the highest."""
+    """pattern: a regular expression over words with single spaces between; keyword: words that each match has, from a word's start; a family's pattern has a rule for each of its keywords, and each match has one of those. Priority 0 is the highest."""
 
     label: str
     keyword: str
@@ -39,13 +39,13 @@ _NAMED = {
     "x11": [("x11 license", r"x11 license", 2, 0.8), ("x consortium", r"copyright c 19\d\d x consortium", 1, 0.8)],
     "isc": [("isc license", r"isc license", 2, 0.8), ("permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0, 1.0), ("spdx license identifier isc", r"spdx license identifier isc", 0, 1.0)],
     "0bsd": [("zero clause bsd", r"zero clause bsd(?: license)?", 0, 0.95), ("0bsd", r"(?:spdx license identifier )?0bsd", 0, 0.95)],
-    "apache": [("apache license", r"apache license", 3, 0.7), ("apache license", r"apache software license", 2, 0.8), ("apache", r"licensed under the apache license version \d(?: \d)?", 0, 1.0), ("apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org", 0, 1.0)],
+    "apache": [("apache license", r"apache license", 3, 0.7), ("apache software license", r"apache software license", 2, 0.8), ("apache", r"licensed under the apache license version \d(?: \d)?", 0, 1.0), ("apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org", 0, 1.0)],
     "gpl": [("general public license", r"general public license", 3, 0.7), ("free software foundation", r"terms of the gnu general public license as published by the free software foundation", 1, 0.95), ("gpl", r"gnu gpl", 2, 0.8), ("gpl", r"licensed under the gpl", 2, 0.8), ("copyleft", r"copyleft license", 3, 0.4)],
     "lgpl": [("lesser general public license", r"(?:gnu )?lesser general public license", 1, 0.9), ("library general public license", r"(?:gnu )?library general public license", 1, 0.9), ("lgpl", r"(?:gnu )?lgpl", 2, 0.8)],
     "agpl": [("affero general public license", r"(?:gnu )?affero general public license", 1, 0.9), ("agpl", r"(?:gnu )?agpl", 2, 0.8)],
     "gfdl": [("free documentation license", r"(?:gnu )?free documentation license", 1, 0.9), ("gfdl", r"(?:gnu )?gfdl", 2, 0.8)],
     "bsd": [("bsd license", r"bsd license", 3, 0.7), ("bsd style license", r"bsd style license", 2, 0.7), ("redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 0.95), ("bsd", r"licensed under the bsd license", 1, 0.9)],
-    "bsd-2-clause": [("bsd", r"(?:the )?(?:simplified bsd license|freebsd license|bsd 2 clause(?: license)?|2 clause bsd(?: license)?)", 0, 0.95)],
+    "bsd-2-clause": [("bsd", r"(?:the )?(?:simplified bsd license|bsd 2 clause(?: license)?|2 clause bsd(?: license)?)", 0, 0.95), ("freebsd license", r"(?:the )?freebsd license", 0, 0.95)],
     "bsd-3-clause": [("bsd", r"(?:the )?(?:new bsd license|modified bsd license|bsd 3 clause(?: license)?|3 clause bsd(?: license)?)", 0, 0.95), ("endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission", 0, 0.95)],
     "bsd-4-clause": [("bsd", r"(?:the )?(?:original bsd license|bsd 4 clause(?: license)?|4 clause bsd(?: license)?)", 0, 0.95), ("advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", 0, 1.0)],
     "mpl": [("mozilla public license", r"mozilla public license", 2, 0.85), ("source code form is subject", r"this source code form is subject to the terms of the mozilla public license v 2 0", 0, 1.0)],
@@ -61,7 +61,7 @@ _NAMED = {
     "python": [("python software foundation license", r"python software foundation license", 1, 0.9), ("psf license", r"psf license(?: agreement)?", 1, 0.9)],
     "php": [("php license", r"php license", 2, 0.85)],
     "ruby": [("ruby license", r"ruby license", 2, 0.8), ("same terms as ruby", r"under the same terms as ruby", 1, 0.9)],
-    "zlib": [("zlib license", r"zlib(?: libpng)? license", 1, 0.85), ("as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0, 0.95)],
+    "zlib": [("zlib license", r"zlib license", 1, 0.85), ("zlib libpng license", r"zlib libpng license", 1, 0.85), ("as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0, 0.95)],
     "libpng": [("libpng license", r"libpng license", 1, 0.85)],
     "bsl": [("boost software license", r"boost software license", 1, 0.95)],
     "busl": [("business source license", r"business source license", 1, 0.95)],
@@ -96,7 +96,7 @@ _NAMED = {
     "cecill": [("cecill", r"cecill(?: [abc])?(?: license)?", 1, 0.9)],
     "bluooak": [("blue oak model license", r"blue oak model license", 1, 0.95)],
     "json": [("good not evil", r"the software shall be used for good not evil", 0, 1.0)],
-    "notice": [("all rights reserved", r"all rights reserved", 3, 0.3), ("copyright", r"copyright(?: c)? (?:19|20)\d\d", 3, 0.3), ("without warranty", r"without warranty of any kind", 3, 0.3), ("as is", r"(?:software|work) is provided as is", 3, 0.3), ("without warranty", r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", 2, 0.5), ("proprietary", r"proprietary and confidential", 3, 0.4), ("license", r"see (?:the )?license(?: file)? for (?:details|more information)", 3, 0.4)],
+    "notice": [("all rights reserved", r"all rights reserved", 3, 0.3), ("copyright", r"copyright(?: c)? (?:19|20)\d\d", 3, 0.3), ("without warranty", r"without warranty of any kind", 3, 0.3), ("as is", r"(?:software|work) is provided as is", 3, 0.3), ("without any warranty", r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", 2, 0.5), ("proprietary", r"proprietary and confidential", 3, 0.4), ("license", r"see (?:the )?license(?: file)? for (?:details|more information)", 3, 0.4)],
 }
 
 # Families whose rules follow from name, keyword and versions.

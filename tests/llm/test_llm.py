@@ -1,5 +1,6 @@
 """Corpus operators against brute force, on fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import dataclasses
 import random
 import re
 import zlib
@@ -146,6 +147,43 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def texts_of(tree):
+    """Matching texts of a parsed pattern: each of its alternatives is in one of them."""
+    parts = []
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                parts.append([chr(arg)])
+            case "IN":
+                parts.append(["7" if str(x[0]) == "CATEGORY" else chr(x[1]) for x in arg])
+            case "SUBPATTERN":
+                parts.append(texts_of(arg[3]))
+            case "BRANCH":
+                parts.append([x for branch in arg[1] for x in texts_of(branch)])
+            case "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                parts.append(["", *texts_of(arg[2])])
+            case _:
+                raise AssertionError(op)
+    return ["".join(x[min(k, len(x) - 1)] for x in parts) for k in range(max(map(len, parts), default=1))]
+
+
+def test_license_keywords_lose_no_match(spark):
+    own, keywords, texts = licenses.rules(), defaultdict(set), {}
+    for r in own:
+        keywords[r.label, r.pattern].add(r.keyword)
+    for label, pattern in keywords:
+        for text in texts_of(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text)
+            assert any(f" {k}" in f" {text}" for k in keywords[label, pattern]), (label, text)
+            texts[text] = len(texts)
+    table = spark.createDataFrame([(k, x) for x, k in texts.items()], "doc_id long, text string")
+    wide = [dataclasses.replace(r, keyword="") for r in own]
+    with_keywords, without = ({x.doc_id: (x.labels, x.score) for x in licenses.scan(table, more).collect()} for more in (own, wide))
+    assert with_keywords == without and all(score > 0 for _, score in without.values())
+    assert with_keywords[texts["freebsd license"]] == (["bsd-2-clause"], 0.95) and "zlib" in with_keywords[texts["zlib libpng license"]][0]
+
+
 def test_token_files(spark, docs, empty, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
