@@ -17,8 +17,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 MIN_WORDS, MOST_REPEATED = 50, 50
 KEEP, STEPS = 0.75, 3
-#: Least standard deviation of each statistic: a group whose rows are all alike rejects nothing near them.
-FLOOR = {"symbols": 0.12, "lines": 0.2, "repeats": 0.25, "size": 0.16}
+#: Deviation of each statistic whose square is added to its scatter: a group whose rows are all alike rejects nothing near them, but each
+#: statistic by itself inside its range: beyond some 0.1 symbols a word, 29% duplicate lines, 20% repeated words, or words 1.5 times as long or short.
+FLOOR = {"symbols": 0.07, "lines": 0.12, "repeats": 0.045, "size": 0.09}
 #: Squared distance beyond which a row is an outlier; rows below which a group takes the whole table's estimate.
 CUTOFF, LEAST_ROWS = 20.0, 40
 #: What a median absolute deviation of normal rows is multiplied by, and the share of its scatter that their nearest KEEP have in four dimensions.

@@ -257,6 +257,26 @@ def test_rules(spark, docs, empty):
     assert all(kept[k] for k in range(120)) and not any(kept[1000 + k] for k in range(6))
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    r = random.Random(5)
+    word = lambda n=0: "".join(r.choices("abcdefghijkl", k=n or r.choice((4, 5, 6))))
+    plain = lambda n=120, size=0: [word(size) for _ in range(n)]
+    text = lambda words: "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    tail = plain(28)
+    odd = {
+        "symbols": text([w + "#" * (k % 5 == 0) for k, w in enumerate(plain())]),
+        "lines": "\n".join(x for _ in range(50) for x in (" ".join(plain(3)), "same")),
+        "repeats": text([*tail, *plain(64), *tail]),
+        "size": text(plain(120, 9)),
+    }
+    small = [text([*plain(49), word() + "#"]), "\n".join([*(" ".join(plain(8)) for _ in range(9)), "same", *(" ".join(plain(8)) for _ in range(2)), "same"]), text([*(x := plain(3)), *plain(50), *x]), text(plain(120, 6))]
+    rows = [(k, text(plain()), "en", "s") for k in range(120)] + [(1000 + k, x, "en", "s") for k, x in enumerate(odd.values())] + [(2000 + k, x, "en", "s") for k, x in enumerate(small)]
+    got = {x.doc_id: x for x in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert {c: got[1000 + k].kept for k, c in enumerate(odd)} == dict.fromkeys(odd, False)
+    assert all(got[k].kept for k in range(120)) and all(got[2000 + k].kept for k in range(4))
+
+
 def counts_slow(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at = defaultdict(list)
