@@ -17,7 +17,7 @@ from ..functions import elementwise
 from ..operators import pixel_driven as pd3
 from ..operators import stencil
 from ..operators.geometry import Projection, Volume
-from ..operators.project import Projector
+from ..operators.project import Projector, masked
 from ..sources import arrays
 from . import recon
 
@@ -237,7 +237,7 @@ class Plugins:
         return own
 
 
-#: Algorithms that are one operation on data, with the operation; _CUDA names take the pixel-driven or linear variants.
+#: Algorithms that are one operation on data, with the operation. BP_CUDA and FBP_CUDA are pixel-driven and CGLS_CUDA takes the start volume into account; other _CUDA names are the plain ones.
 ITERATIVE = {"SIRT": recon.SIRT, "SART": recon.SART, "ART": recon.ART, "CGLS": recon.CGLS, "EM": recon.EM}
 
 
@@ -276,6 +276,12 @@ class Lake:
         p = self.store.get(projector, "projector")
         s = sino if isinstance(sino, DataFrame) else arrays.from_array(self.spark, sino, "sino2d")
         name = kind.removesuffix("_CUDA")
+        if kind == "FBP_CUDA":
+            return recon.fbp_pixel(self.spark, p.g, p.v, s, options.get("filter", "ram-lak"))
+        if kind == "BP_CUDA":
+            return pd3.bp_pixel(self.spark, p.g, p.v, s)
+        if kind == "CGLS_CUDA":
+            options = {"restart": True} | options
         if name == "FBP":
             return recon.fbp(p, s, options.get("filter", "ram-lak"))
         if name == "BP":
@@ -329,7 +335,7 @@ class Algorithm:
         self.option = cfg.get("option", {})
         kind = cfg.get("type", "")
         self.name = kind.removesuffix("_CUDA")
-        self.own = None
+        self.cuda, self.own = kind.endswith("_CUDA"), None
         if kind in lake.plugin.known:
             self.own = lake.plugin.create(kind, cfg | {"store": s})
         elif self.name in ITERATIVE:
@@ -338,6 +344,7 @@ class Algorithm:
             low = self.option.get("MinConstraintValue", 0.0) if self.option.get("UseMinConstraint") == "yes" else low
             high = self.option.get("MaxConstraintValue", 255.0) if self.option.get("UseMaxConstraint") == "yes" else high
             more = {"order": self.option["ProjectionOrderList"]} if "ProjectionOrderList" in self.option else {"order": self.option["RayOrderList"]} if "RayOrderList" in self.option else {}
+            more |= {"restart": True} if kind == "CGLS_CUDA" else {}
             start = self.out().df if self.name != "EM" or "start" in self.option else None
             self.own = ITERATIVE[self.name](s.get(cfg["ProjectorId"], "projector"), self.sino().df, start=start, mask=mask("ReconstructionMaskId"), ray_mask=mask("SinogramMaskId"), low=low, high=high, relaxation=self.option.get("Relaxation", self.option.get("Lambda", 1.0)), **more)
         elif self.name not in ("FP", "BP", "FBP", "FDK", "FP3D", "BP3D", "SIRT3D", "CGLS3D", "DARTMASK", "DARTSMOOTHING", "DARTMASK3D", "DARTSMOOTHING3D", "RoiSelect", "DataOperation"):
@@ -346,6 +353,9 @@ class Algorithm:
     def sino(self) -> Data:
         return self.lake.store.get(self.cfg["ProjectionDataId"], "data")
 
+    def mask(self, option: str) -> DataFrame | None:
+        return self.lake.store.get(self.option[option], "data").df if option in self.option else None
+
     def out(self) -> Data:
         return self.lake.store.get(self.cfg.get("ReconstructionDataId", self.cfg.get("OutDataId", self.cfg.get("MaskDataId", self.cfg.get("DataId")))), "data")
 
@@ -357,11 +367,19 @@ class Algorithm:
             self.out().df = self.own.run(iterations)
         elif self.name == "FP":
             p = s.get(self.cfg["ProjectorId"], "projector")
-            out = p.fp(s.get(self.cfg["VolumeDataId"], "data").df)
+            out = masked(p.fp(s.get(self.cfg["VolumeDataId"], "data").df, mask=self.mask("VolumeMaskId")), self.mask("SinogramMaskId"), ["a", "d"])
             self.sino().df = p.rays().join(out, ["a", "d"], "left").fillna(0.0, ["p"])
         elif self.name in ("BP", "FBP"):
             p = s.get(self.cfg["ProjectorId"], "projector")
-            done = p.bp(self.sino().df) if self.name == "BP" else recon.fbp(p, self.sino().df, self.option.get("FilterType", self.cfg.get("FilterType", "ram-lak")), self.option.get("FilterParameter", -1.0), self.option.get("FilterD", 1.0))
+            sino = masked(self.sino().df, self.mask("SinogramMaskId"), ["a", "d"])
+            filtering = (self.option.get("FilterType", self.cfg.get("FilterType", "ram-lak")), self.option.get("FilterParameter", -1.0), self.option.get("FilterD", 1.0))
+            if self.name == "BP":
+                done = pd3.bp_pixel(spark, p.g, p.v, sino) if self.cuda else p.bp(sino)
+            elif self.cuda:
+                done = recon.fbp_pixel(spark, p.g, p.v, sino, filtering[0], bool(self.option.get("ShortScan")), *filtering[1:])
+            else:
+                done = recon.fbp(p, sino, *filtering)
+            done = masked(done, self.mask("ReconstructionMaskId"), ["r", "c"])
             self.out().df = p.pixels().join(done, ["r", "c"], "left").fillna(0.0, ["v"])
         elif self.name in ("FDK", "FP3D", "BP3D", "SIRT3D", "CGLS3D"):
             g, v = self.sino().geometry, s.get(self.cfg.get("VolumeDataId", self.cfg.get("ReconstructionDataId")), "data").geometry

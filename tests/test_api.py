@@ -60,6 +60,37 @@ def test_algorithms(lake):
     lake.store.get(p).release()
 
 
+def test_cuda_names_and_masks(lake, spark):
+    p = lake.create_projector("linear", G, V)
+    half = np.zeros((8, 8))
+    half[:, :4] = 1
+    rays = np.ones((6, 12))
+    rays[::2] = 0
+    vol, left, sino, seen, rec = lake.data2d.create("-vol", V, IMAGE), lake.data2d.create("-vol", V, half), lake.data2d.create("-sino", G), lake.data2d.create("-sino", G, rays), lake.data2d.create("-vol", V)
+
+    def done(kind, out=rec, **option):
+        lake.run(lake.algorithm({"type": kind, "ProjectorId": p, "VolumeDataId": vol, "ProjectionDataId": sino, "ReconstructionDataId": rec, "option": option}))
+        return lake.data2d.get(out)
+
+    whole = done("FP", sino)
+    part = done("FP", sino, VolumeMaskId=left, SinogramMaskId=seen)
+    assert (part[::2] == 0).all() and 0 < part[1::2].sum() < whole[1::2].sum()
+    done("FP", sino)
+    s, own = lake.store.get(sino).df, lake.store.get(p)
+    for kind, want in (("BP_CUDA", api.pd3.bp_pixel(spark, G, V, s)), ("FBP_CUDA", api.recon.fbp_pixel(spark, G, V, s))):
+        image = np.zeros((8, 8))
+        for r, c, v in want.select("r", "c", "v").collect():
+            image[r, c] = v
+        assert done(kind) == pytest.approx(image) and np.abs(done(kind) - done(kind.removesuffix("_CUDA"))).max() > 1e-6
+    for kind in ("BP", "BP_CUDA"):
+        full, cut = done(kind), done(kind, ReconstructionMaskId=left)
+        assert cut == pytest.approx(full * half)
+        assert 0 < done(kind, SinogramMaskId=seen).sum() < full.sum()
+    lake.data2d.store(rec, IMAGE)
+    assert done("CGLS_CUDA") == pytest.approx(IMAGE, abs=1e-6)
+    own.release()
+
+
 def test_plugins(lake):
     class Own(api.Plugin):
         """Doubles."""
