@@ -1,79 +1,108 @@
 """Token-ID output (operator 4): shards of ids under a Re-Pair grammar, with expansion lengths for random access.
 
-A shard holds the ids of some consecutive documents. Rounds replace the pairs of neighbours that are frequent in
-the shard by new symbols, many pairs in a round, from left to right where they overlap; a pair never spans two
+A shard holds the ids of some consecutive documents. Rounds replace the pairs of neighbours that are frequent in the shard by new
+symbols until no pair is frequent: in each round every pair that is more frequent than those it overlaps gives way. A pair never spans two
 documents, as its left symbol never ends in the end id. The file keeps the rules by round, each symbol's expansion length, the
-remaining symbols and, for each document, where its symbols begin, so that one document is decoded by itself.
+remaining symbols and, for each document, where its symbols begin, so that any range of ids is decoded by itself.
 Shards are rows of a Parquet table, which Spark writes to and reads from any store.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import re
 import struct
-import unicodedata
 import uuid
+import zlib
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
-from .bpe import Words, byte_alphabet
 
 FILE, END_ID = "word_bpe_49k.json", 2
-SHARD_IDS, ROUNDS, LEAST, MOST_SYMBOLS, PER_ROUND, TABLE_BITS = 1_000_000, 4, 12, 1 << 16, 6000, 20
-#: Texts with these are encoded whole by the library: their treatment depends on more than one word.
-WHOLE = re.compile("[\x1c-\x1f\x85Σ]")
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MAGIC = b"RPG1"
+#: Ids of a shard, about; how often a pair must be there to give way (6 to 12 give the smallest files: rarer pairs save less than their rules take); size of the table of pairs.
+SHARD_IDS, LEAST, TABLE_BITS = 1_000_000, 8, 20
+#: Texts with these are encoded whole by the library: special tokens, and separators that Python alone takes for white space.
+WHOLE = re.compile("<\\||[\x1c-\x1f]")
+#: Words kept with their ids, characters of such a word at most, misses after which the words start afresh, characters encoded at once.
+CACHE_WORDS, CACHE_CHARS, RENEW, AT_ONCE = 500_000, 32, 8, 1 << 21
+#: Stands for a null doc_id, below all others.
+NO_ID = -(1 << 63)
+MAGIC, HEAD = b"RPG2", "<4sIIIIQQ"
 
 
 class WordCoder:
-    """Ids as little-endian 16-bit numbers, as the tokenizers library gives them for this file's kind of BPE.
+    """Ids as little-endian 16-bit numbers, as the tokenizers library gives them.
 
-    A word's end is one more byte, 255, which no UTF-8 text has; merges then go by the id of what they make, which the file's
-    merges do too (checked here: each makes another token, in ascending order of ids).
+    The file's normalizer makes white space one space and its pattern drops it, so that a text's ids are those of its words one after the
+    other. Every word is encoded by the library itself; the ids of words that were met are kept. A stop or comma after an ASCII
+    letter or digit is a piece by itself at a word's end, so that the word before it is looked up without it.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
         self.base = self.own.get_vocab_size(with_added_tokens=True)
-        if self.base > MOST_SYMBOLS:
+        if self.base > 1 << 16:
             raise ValueError(f"ids of {path} take more than 16 bits")
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        vocab, alphabet, end = made["model"]["vocab"], byte_alphabet(), made["model"]["end_of_word_suffix"]
-        merged = [vocab["".join(x.split(" ") if isinstance(x, str) else x)] for x in made["model"]["merges"]]
-        if merged != sorted(set(merged)):
-            raise ValueError(f"merges of {path} aren't in the order of their ids")
-        special = {x["content"] for x in made["added_tokens"]}
-        ranks = {bytes(alphabet[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end): i for token, i in vocab.items() if token not in special}
-        self.bpe = tiktoken._tiktoken.CoreBPE(ranks | {b"\xff": self.base}, {}, r"\S+")
-        self.words = Words(self.word, {x: self.word(x) for x in ".,"})
-
-    def word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in PIECES.findall(word):
-            ids += self.bpe.encode_single_piece(piece.encode("utf-8") + b"\xff")
-        return array("H", ids).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.missed = 0
+        self.tails = {x: self.by_library([x])[0] for x in ".,"}
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        return [array("H", x.ids).tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
+
+    def take_in(self, words: set[str]) -> list[str]:
+        """Adds the ids of words that aren't known; gives back those that aren't to be kept."""
+        new = [w for w in words if w not in self.words]
+        bare = {w: w[:-1] if w[-1] in self.tails and w[-2:-1].isascii() and w[-2:-1].isalnum() else w for w in new}
+        missing = list({x for x in bare.values() if x not in self.words})
+        self.words.update(zip(missing, self.by_library(missing), strict=True))
+        for w, x in bare.items():
+            if x is not w:
+                self.words[w] = self.words[x] + self.tails[w[-1]]
+        added = new + [x for x in missing if x not in bare]
+        if len(self.words) <= CACHE_WORDS:
+            return [w for w in added if len(w) > CACHE_CHARS]
+        self.missed += len(added)
+        return added
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; some AT_ONCE characters are encoded at a time."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            part = texts[at:end]
+            whole = [bool(WHOLE.search(t)) for t in part]
+            split = [() if w else (t.lower() if t.isascii() else t).split() for t, w in zip(part, whole, strict=True)]
+            drop = self.take_in(set(chain.from_iterable(split)))
+            get = self.words.__getitem__
+            out += [array("H", self.own.encode(t, add_special_tokens=False).ids).tobytes() if w else b"".join(map(get, words)) for t, w, words in zip(part, whole, split, strict=True)]
+            if self.missed > RENEW * CACHE_WORDS:
+                self.words.clear()
+                self.missed = 0
+            else:
+                for w in drop:
+                    self.words.pop(w, None)
+            at = end
+        return out
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or WHOLE.search(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if not text.isascii():  # composed before it is lower-cased, as the library does: the other order can order marks differently
-            text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
@@ -81,56 +110,90 @@ def coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
-def hashed(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+def every_other(keys: np.ndarray) -> np.ndarray:
+    """False where a key is the second, fourth ... of a run of equal ones, which overlap."""
+    out = np.ones(len(keys), bool)
+    same = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    if len(same):
+        first = np.concatenate(([True], np.diff(same) != 1))
+        run = np.maximum.accumulate(np.where(first, np.arange(len(same)), 0))
+        out[same[(np.arange(len(same)) - run) % 2 == 0]] = False
+    return out
 
 
-def repair(ids: np.ndarray, base: int, end_id: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The symbols that remain, and for each round the pairs (as left << 16 | right) that its new symbols stand for."""
+def hashed(keys: np.ndarray) -> np.ndarray:
+    """A place in a table of 1 << TABLE_BITS for each pair."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+
+
+def frequent(seq: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, pairs): where pairs stand that are there least times without overlap, pairs as left << 32 | right.
+
+    Numbers ascend with frequency, so that the larger of two numbers is the more frequent pair. Places are found by a table of hashed pairs; of pairs
+    that share a place there the most frequent is found, the others in a later round.
+    """
+    if len(last) <= 1 << 16:  # half as wide, which sorts faster
+        keys, shift = seq[:-1] << np.uint32(16) | seq[1:], 16
+    else:
+        keys, shift = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], 32
+    free = ~last[seq[:-1]] & every_other(keys)
+    ordered = np.sort(keys[free])
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(starts, append=len(ordered))
+    often = np.flatnonzero(counts >= least)
+    pairs = ordered[starts[often[np.argsort(counts[often], kind="stable")]]]
+    if not len(pairs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    table = np.full(1 << TABLE_BITS, -1, np.int32)
+    np.maximum.at(table, hashed(pairs), np.arange(len(pairs), dtype=np.int32))
+    number = table[hashed(keys)]
+    at = np.flatnonzero((number >= 0) & free)
+    number = number[at]
+    there = pairs[number] == keys[at]
+    wide = pairs.astype(np.uint64)
+    return at[there], number[there], (wide >> np.uint64(shift)) << np.uint64(32) | wide & np.uint64((1 << shift) - 1)
+
+
+def apart(at: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which of the places are taken, so that none overlap: again and again those whose pair is more frequent than their free neighbours' pairs."""
+    taken, free = np.zeros(len(at), bool), np.arange(len(at))
+    while len(free):
+        a, n = at[free], number[free]
+        near = a[1:] == a[:-1] + 1
+        wins = ~(np.concatenate(([False], near & (n[1:] < n[:-1]))) | np.concatenate((near & (n[:-1] < n[1:]), [False])))
+        taken[free[wins]] = True
+        beside = np.concatenate(([False], near & wins[:-1])) | np.concatenate((near & wins[1:], [False]))
+        free = free[~(wins | beside)]
+    return taken
+
+
+def repair(ids: np.ndarray, base: int, end_id: int, rounds: int | None = None, least: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The symbols that remain, and for each round the pairs (as left << 32 | right) that its new symbols stand for.
+
+    It ends when no pair is there least times without overlap; rounds: or after so many. The most frequent pair of all gives way at
+    each of its places, so that every round makes the sequence shorter.
+    """
+    least = least or LEAST
     seq, rules, first = ids.astype(np.uint32), [], base
-    last = np.zeros(MOST_SYMBOLS, bool)  # symbols that end a document
+    last = np.zeros(base, bool)  # symbols that end a document
     last[end_id] = True
-    for _ in range(rounds):
-        room = min(PER_ROUND, MOST_SYMBOLS - first)
-        if room <= 0 or len(seq) < 2:
-            break
-        keys = seq[:-1] << 16
-        keys |= seq[1:]
-        inner = ~last[seq[:-1]]
-        ordered = np.sort(keys[inner])
-        if not ordered.size:
-            break
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(starts, append=len(ordered))
-        often = np.flatnonzero(counts >= least)
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
-        if not len(often):
-            break
-        chosen = ordered[starts[often]]
-        # A table by hashed pair holds the number of a chosen pair, or of one that shares its place, which is told by comparison.
-        table = np.full(1 << TABLE_BITS, -1, np.int16)
-        table[hashed(chosen)] = np.arange(len(chosen), dtype=np.int16)
-        rule = table[hashed(keys)]
-        at = np.flatnonzero((rule >= 0) & inner)
-        rule = rule[at]
-        hit = chosen[rule] == keys[at]
-        at, rule = at[hit], rule[hit]
-        head = np.concatenate(([True], np.diff(at) != 1))  # overlapping pairs: every second one from the left
-        run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, rule = at[even], rule[even]
-        used = np.bincount(rule, minlength=len(chosen)) > 1
-        at, rule = at[used[rule]], rule[used[rule]]
+    while len(seq) > 1 and (rounds is None or len(rules) < rounds):
+        at, number, pairs = frequent(seq, last, least)
         if not len(at):
             break
-        number = np.cumsum(used) - 1 + first
-        seq[at] = number[rule]
+        taken = apart(at, number)
+        at, number = at[taken], number[taken]
+        used = np.bincount(number, minlength=len(pairs)) >= least
+        taken = used[number]
+        at, number = at[taken], number[taken]
+        seq[at] = (np.cumsum(used) - 1 + first)[number]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(chosen[used])
-        last[first : first + len(rules[-1])] = last[rules[-1] & 0xFFFF]
+        rules.append(pairs[used])
+        last = np.concatenate((last, last[(rules[-1] & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
         first += len(rules[-1])
     return seq, rules
 
@@ -140,11 +203,13 @@ def expand(seq: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
     tops = base + np.cumsum([0, *map(len, rules)])
     for pairs, low in zip(reversed(rules), reversed(tops[:-1].tolist()), strict=True):
         new = seq >= low
+        if not new.any():
+            continue
         out = np.repeat(seq, 1 + new)
         at = np.flatnonzero(new)
         at += np.arange(len(at))
         pair = pairs[seq[new] - low]
-        out[at], out[at + 1] = pair >> 16, pair & 0xFFFF
+        out[at], out[at + 1] = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
         seq = out
     return seq
 
@@ -154,32 +219,33 @@ def lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
     each = np.ones(base + sum(map(len, rules)), np.uint32)
     low = base
     for pairs in rules:
-        each[low : low + len(pairs)] = each[pairs >> 16] + each[pairs & 0xFFFF]
+        each[low : low + len(pairs)] = each[(pairs >> np.uint64(32)).astype(np.int64)] + each[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         low += len(pairs)
     return each
 
 
 def to_shard(docs: list[int | None], sizes: list[int], ids: np.ndarray, before: int, base: int, end_id: int) -> bytes:
-    """File form of consecutive documents; before: ids of the bucket's documents before them."""
+    """File form of consecutive documents; before: ids of the bucket's documents before them. Symbols take 16 bits if all fit there, else 32."""
     seq, rules = repair(ids, base, end_id)
     each = lengths(rules, base)
     starts = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
     ends = np.concatenate(([0], np.cumsum(each[seq], dtype=np.uint64)))
     symbols = np.searchsorted(ends, starts).astype("<u8")
-    head = struct.pack("<4sIIIIQQ", MAGIC, base, end_id, len(rules), len(docs), len(seq), before)
+    head = struct.pack(HEAD, MAGIC, base, end_id, len(rules), len(docs), len(seq), before)
     null = np.array([x is None for x in docs], "u1")
-    return b"".join((head, np.array([len(x) for x in rules], "<u4").tobytes(), *(x.astype("<u4").tobytes() for x in rules), each[base:].astype("<u4").tobytes(), np.array([x or 0 for x in docs], "<i8").tobytes(), null.tobytes(), starts.tobytes(), symbols.tobytes(), seq.astype("<u2").tobytes()))
+    narrow = len(each) <= 1 << 16
+    halves = [x.astype("<u8").view("<u4").astype("<u2" if narrow else "<u4").tobytes() for x in rules]
+    return b"".join((head, np.array([len(x) for x in rules], "<u4").tobytes(), *halves, each[base:].astype("<u4").tobytes(), np.array([x or 0 for x in docs], "<i8").tobytes(), null.tobytes(), starts.tobytes(), symbols.tobytes(), seq.astype("<u2" if narrow else "<u4").tobytes()))
 
 
 class Shard:
     """A shard's documents, from its file form."""
 
     def __init__(self, data: bytes):
-        head = struct.calcsize("<4sIIIIQQ")
-        magic, self.base, self.end_id, n_rounds, n_docs, n_symbols, self.before = struct.unpack("<4sIIIIQQ", data[:head])
+        magic, self.base, self.end_id, n_rounds, n_docs, n_symbols, self.before = struct.unpack(HEAD, data[: struct.calcsize(HEAD)])
         if magic != MAGIC:
             raise ValueError("this is no shard of token ids")
-        at = head
+        at = struct.calcsize(HEAD)
 
         def read(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -188,12 +254,13 @@ class Shard:
             return out
 
         sizes = read("<u4", n_rounds)
-        self.rules = [read("<u4", int(n)) for n in sizes]
+        kind = "<u2" if self.base + int(sizes.sum()) <= 1 << 16 else "<u4"
+        self.rules = [read(kind, 2 * int(n)).astype("<u4").view("<u8") for n in sizes]
         self.expansions = read("<u4", int(sizes.sum()))
         docs, null = read("<i8", n_docs), read("u1", n_docs)
         self.docs = [None if empty else int(x) for x, empty in zip(docs, null, strict=True)]
         self.starts, self.symbols = read("<u8", n_docs + 1), read("<u8", n_docs + 1)
-        self.seq = read("<u2", n_symbols)
+        self.seq = read(kind, n_symbols)
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document alone."""
@@ -202,27 +269,74 @@ class Shard:
     def all_ids(self) -> np.ndarray:
         return expand(self.seq.astype(np.uint32), self.rules, self.base)
 
+    @functools.cached_property
+    def pairs(self) -> np.ndarray:
+        return np.concatenate(self.rules) if self.rules else np.zeros(0, np.uint64)
+
+    def length(self, symbol: int) -> int:
+        return 1 if symbol < self.base else int(self.expansions[symbol - self.base])
+
+    def part(self, symbol: int, skip: int, take: int) -> Iterator[int]:
+        """The ids of a symbol from skip on, take of them at most; what lies outside isn't expanded, by the expansion lengths."""
+        todo = [symbol]
+        while todo and take > 0:
+            x = todo.pop()
+            if skip >= (n := self.length(x)):
+                skip -= n
+            elif x < self.base:
+                take -= 1
+                yield x
+            else:
+                pair = int(self.pairs[x - self.base])
+                todo += (pair & 0xFFFFFFFF, pair >> 32)
+
+    def slice(self, i: int, j: int) -> np.ndarray:
+        """The ids from place i up to place j of the shard, of which only the symbols that cover them are expanded."""
+        i, j = max(0, i), min(j, int(self.starts[-1]))
+        if i >= j:
+            return np.zeros(0, np.uint32)
+        first, last = int(np.searchsorted(self.starts, i, "right")) - 1, int(np.searchsorted(self.starts, j, "left"))
+        low = int(self.symbols[first])
+        near = self.seq[low : int(self.symbols[last])].astype(np.int64)
+        each = np.ones(len(near), np.int64)
+        new = near >= self.base
+        each[new] = self.expansions[near[new] - self.base]
+        ends = int(self.starts[first]) + np.cumsum(each)
+        a, b = int(np.searchsorted(ends, i, "right")), int(np.searchsorted(ends, j, "left"))
+        begins = ends - each
+        if a == b:
+            return np.fromiter(self.part(int(near[a]), i - int(begins[a]), j - i), np.uint32, j - i)
+        head = np.fromiter(self.part(int(near[a]), i - int(begins[a]), int(each[a])), np.uint32)
+        tail = np.fromiter(self.part(int(near[b]), 0, j - int(begins[b])), np.uint32)
+        return np.concatenate((head, expand(near[a + 1 : b].astype(np.uint32), self.rules, self.base), tail))
+
 
 def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all documents, each with end_id after it, in ascending order of doc_id, as a Parquet table of shards at out.
 
     Rows: bucket, a range of doc_ids; seq, the shard's number there; n_ids; payload. A null text is empty; a null doc_id comes first; rows
-    with one doc_id follow each other in any order. Ids are shuffled once, as 16-bit numbers, to ranges found from doc_id alone.
+    with one doc_id follow each other in any order. Ids are shuffled once, as 16-bit numbers, to ranges found from doc_id alone; a doc_id (or
+    null) that fills several ranges is dealt to them by text. doc_id must be of an integer type, else this raises.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} gives the order of the files and must be an integer")
     path = path or common.load_tokenizer_path(FILE)
     spark = docs.sparkSession
     source = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = source.select("doc_id").dropna().approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)
-    bounds = np.unique(np.array(found, np.float64))
+    found = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)
+    bounds = np.sort(np.array(found, np.float64))
 
     def encode(batches):
         own = coder(path)
         end = struct.pack("<H", end_id)
         for batch in batches:
-            ids = batch.column(0)
-            bucket = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), ids, pa.array([own.encode(x) + end for x in batch.column(1).to_pylist()], pa.binary())], ["bucket", "doc_id", "ids"])
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            place = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.float64)
+            low, bucket = np.searchsorted(bounds, place, "left"), np.searchsorted(bounds, place, "right")
+            for k in np.flatnonzero(bucket - low > 1).tolist():
+                bucket[k] = low[k] + 1 + zlib.crc32(texts[k].encode()) % int(bucket[k] - low[k])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids, pa.array([x + end for x in own.encode_all(texts)], pa.binary())], ["bucket", "doc_id", "ids"])
 
     def shards(batches):
         base = coder(path).base

@@ -224,6 +224,59 @@ def test_repair_round_trip():
     assert len(token_files.repair(np.ones(1000, np.uint32), 10, 2, 8, 2)[0]) < 20
 
 
+def test_word_ids_of_every_character():
+    """Each assigned code point and many others, at a word's start, inside and at its end, against the library on the whole text."""
+    from tokenizers import Tokenizer
+
+    path = common.load_tokenizer_path(token_files.FILE)
+    own, ours = Tokenizer.from_file(path), token_files.WordCoder(path)
+    points = [x for x in range(0x110000) if not 0xD800 <= x <= 0xDFFF and (x < 0x3400 or x % 7 == 0 or x in (0xA7CB, 0xA7DC, 0x1C89))]
+    texts = [" ".join(f"a{c}b {c}. x{c}, 1{c}" for c in map(chr, points[k : k + 64])) for k in range(0, len(points), 64)]
+    for text, want, got in zip(texts, own.encode_batch_fast(texts, add_special_tokens=False), ours.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == want.ids, repr(text)
+
+
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(3, 4000, 300)
+    for least, ids in ((2, rng.zipf(1.3, 20000) % 500 + 3), (5, np.concatenate([x for _ in range(60) for x in (passage[rng.integers(0, 90) : rng.integers(200, 300)], [2], rng.integers(3, 60000, 40), [2])])), (3, np.full(999, 7))):
+        seq, made = token_files.repair(ids.astype(np.uint32), 60000, 2, None, least)
+        assert token_files.expand(seq, made, 60000).tolist() == ids.tolist()
+        counts, taken = Counter(), {}
+        for k, p in enumerate(zip(seq.tolist(), seq[1:].tolist(), strict=False)):
+            if taken.get(p) != k - 1 and token_files.expand(np.array([p[0]], np.uint32), made, 60000)[-1] != 2:
+                counts[p] += 1
+                taken[p] = k
+        assert max(counts.values(), default=0) < least
+        assert sum(map(len, made)) > 0
+
+
+def test_shard_slices():
+    rng = np.random.default_rng(4)
+    sizes = [1, 700, 1, 1, 1500, 40]
+    ids = np.concatenate([np.append(rng.integers(3, 9, n - 1), 2) for n in sizes]).astype(np.uint16)
+    for base in (10, 70000):  # symbols of 16 and of 32 bits
+        shard = token_files.Shard(token_files.to_shard([None, *range(5)], sizes, ids, 0, base, 2))
+        assert shard.all_ids().tolist() == ids.tolist() and len(shard.seq) < 0.6 * len(ids)
+        for i, j in [(0, len(ids)), (0, 1), (5, 5), (-3, 2), (2000, 9999), *np.sort(rng.integers(0, len(ids) + 1, (300, 2)), axis=1).tolist()]:
+            assert shard.slice(i, j).tolist() == ids[max(0, i) : max(0, i, j)].tolist(), (i, j)
+        whole = [sum(shard.length(int(x)) for x in shard.seq[int(a) : int(b)]) for a, b in zip(shard.symbols, shard.symbols[1:], strict=False)]
+        assert whole == sizes
+
+
+def test_token_files_of_one_doc_id(spark, tmp_path):
+    """Ids that fill several ranges are dealt out; a doc_id that isn't an integer raises."""
+    rows = [(7, f"word {k}") for k in range(400)] + [(None, f"none {k}") for k in range(300)] + [(k, "x") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write(table, str(tmp_path / "h"))
+    got = sorted(token_files.read(spark, str(tmp_path / "h")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((x for x, _ in rows), key=lambda x: (x is not None, x))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert spark.read.parquet(str(tmp_path / "h")).count() >= 6
+    with pytest.raises(ValueError, match="integer"):
+        token_files.write(table.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"), str(tmp_path / "s"))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
