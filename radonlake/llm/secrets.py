@@ -1,7 +1,8 @@
 """Secret scans (operator 1): Markov models of random strings and of ordinary identifiers, compared by log-likelihood ratio.
 
-Base kinds are found by pattern; any other long run of token characters is scored by two character models of second order,
-trained from labelled samples, and reported where a random string explains it better by a margin.
+Base kinds are found by pattern. In every other run of token characters, also in what a base span leaves of one, two character models of
+second order, trained from labelled samples, score each character; the segments of the largest sums are reported where a
+random string explains them better by a margin, so that ordinary words beside a token don't hide it.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
-#: Runs that the models score, their least length, and the margins of the log-likelihood ratio: in all and for a character.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MARGIN, MARGIN_CHAR = 12.0, 0.45
+#: Runs that the models score, by their least length, and that of a segment, the margins of its log-likelihood ratio, in all and for a character, and how far
+#: a segment reaches on to the separator or run's end next to it.
+RUN_LEAST, SEGMENT_LEAST = 20, 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST)
+MARGIN, MARGIN_CHAR, REACH, SEPARATORS = 12.0, 0.45, 4, "/_=-"
 ALPHABET = {c: i for i, c in enumerate(string.ascii_letters + string.digits + "+/_=-")}
 EDGE = len(ALPHABET)
 #: Samples of each label by default, and the seed that they are made from.
@@ -57,14 +60,26 @@ wait warning watch weight widget width window word worker wrapper write zone
 """.split()
 
 
+#: Beginnings, vowels and ends of syllables, for words of no list.
+ONSETS = "b br c ch d dr f fl g gr h j k kl l m n p pf pr qu r s sch sh sp st str t th tr v w z".split()
+VOWELS = "a e i o u ai au ea ee ei ie io ou eu".split()
+CODAS = ["", "", "", *"b ch ck d f g h k l ld lich ll m n nd ng ns nt p r rd rk rn s ss st t ten tion tz ung x".split()]
+
+
+def spoken(made: random.Random) -> str:
+    """A word of a few syllables, of no language."""
+    return "".join(made.choice(ONSETS) + made.choice(VOWELS) + made.choice(CODAS) for _ in range(made.randint(1, 5)))
+
+
 def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]]:
-    """(string, whether it is random): generated strings of usual alphabets, and identifiers of ordinary words."""
+    """(string, whether it is random): generated strings of usual alphabets; and identifiers of ordinary words, paths, times, versions, rulers and numbers in groups."""
     made, out = random.Random(seed), []
     alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_", "0123456789abcdef"]
     for k in range(n):
         out.append(("".join(made.choices(alphabets[k % len(alphabets)], k=made.randint(20, 64))), True))
-        words = made.choices(IDENTIFIER_WORDS, k=made.randint(2, 7))
-        style = k % 6
+        words = [w if made.random() < 0.6 else spoken(made) for w in made.choices(IDENTIFIER_WORDS, k=made.randint(2, 7))]
+        number = lambda n=0: str(made.randrange(10 ** (n or made.randint(1, 4)))).zfill(n)
+        style = k % 12
         if style == 0:
             name = "_".join(words)
         elif style == 1:
@@ -75,8 +90,20 @@ def default_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, bool]
             name = "-".join(words)
         elif style == 4:
             name = "_".join(words).upper()
-        else:
-            name = "".join(words) if k % 12 else "/".join(words)
+        elif style == 5:
+            name = "".join(words)
+        elif style == 6:
+            name = "/".join(words)
+        elif style == 7:  # times
+            name = f"{made.randint(1970, 2039)}-{made.randint(1, 12):02}-{made.randint(1, 31):02}T{number(2)}{number(2)}{number(2)}" + made.choice(("", "Z", "+0000", "+0200", f"-{number(4)}"))
+        elif style == 8:  # versions and builds
+            name = "-".join(words[:3]) + f"-{number()}-{number(1)}-{number()}" + made.choice(("", "-linux-x86_64", "-win32", "-amd64", "-SNAPSHOT", "_final"))
+        elif style == 9:  # rulers
+            name = "".join(made.choice("-=_+/") * made.randint(4, 40) for _ in range(made.randint(1, 3)))
+        elif style == 10:
+            name = "_".join(x + number() * made.randint(0, 1) for x in words)
+        else:  # numbers in groups
+            name = made.choice("-/_").join(number(made.randint(2, 6)) for _ in range(made.randint(3, 6)))
         out.append((name + (str(made.randint(0, 2030)) if k % 5 == 0 else ""), False))
     return out
 
@@ -118,8 +145,40 @@ def ratio(model: np.ndarray, run: str) -> float:
     return math.fsum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
 
 
+def segments(model: np.ndarray, run: str) -> list[tuple[int, int]]:
+    """The segments of a run that are likelier random, from left to right.
+
+    A segment has the largest sum of what its characters' ratios exceed MARGIN_CHAR by, so that its mean is at least that; what is left and right of it
+    is searched on. At its ends it takes in up to REACH characters before a separator or the run's end.
+    """
+    s = np.array(symbols(run))
+    over = model[s[:-2], s[1:-1], s[2:]] - MARGIN_CHAR
+    sums = np.concatenate(([0.0], np.cumsum(over)))
+    out, todo = [], [(0, len(run))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < SEGMENT_LEAST:
+            continue
+        part = sums[a : b + 1]
+        low = np.minimum.accumulate(part)
+        end = int(np.argmax(part - low))
+        start = int(np.argmin(part[: end + 1]))
+        if end <= start:
+            continue
+        i, j = a + start, a + end
+        first = next((k for k in range(i, max(a, i - REACH) - 1, -1) if k == a or run[k - 1] in SEPARATORS), i)
+        last = next((k for k in range(j, min(b, j + REACH) + 1) if k == b or run[k] in SEPARATORS), j)
+        gain = sums[j] - sums[i] + MARGIN_CHAR * (j - i)
+        if gain < MARGIN:
+            continue
+        if last - first >= SEGMENT_LEAST:
+            out.append((first, last))
+        todo += ((a, first), (last, b))
+    return sorted(out)
+
+
 def find(text: str, model: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) in code points, sorted; a run that overlaps a span of a base kind is left to it."""
+    """(start, kind's number, end) in code points, sorted. Model spans are outside base spans, also those of a run that a base span is part of."""
     found: list[tuple[int, int, int]] = []
     low = text.lower()
     if any(w in low for w in WORDS):
@@ -131,11 +190,17 @@ def find(text: str, model: np.ndarray) -> list[tuple[int, int, int]]:
     k, high = 0, 0
     for m in RUN.finditer(text):
         a, b = m.span()
+        a = max(a, high)
+        parts = []
         while k < len(base) and base[k][0] < b:
+            parts.append((a, base[k][0]))
             high = max(high, base[k][1])
+            a = max(a, high)
             k += 1
-        if high <= a and (score := ratio(model, m.group())) >= MARGIN and score >= MARGIN_CHAR * (b - a):
-            found.append((a, 3, b))
+        parts.append((a, b))
+        for i, j in parts:
+            if j - i >= SEGMENT_LEAST:
+                found += [(i + x, 3, i + y) for x, y in segments(model, text[i:j])]
     return sorted(found)
 
 
@@ -152,7 +217,8 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def scan(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>): the secrets of every whole text, by start, then kind.
 
-    Null texts count as empty. Rows that repeat a doc_id are scanned each. samples: labelled strings to train the models from,
+    Null and empty texts have none; a text of any length is scanned whole, in time that grows with its length. Rows that repeat a doc_id are scanned each,
+    other columns are left out, an empty table gives an empty one. samples: labelled strings to train the models from,
     a list that the driver holds; by default generated ones.
     """
     model = train(samples) if samples is not None else None
@@ -169,7 +235,8 @@ def scan(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, id_col:
 
 
 def redacted(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with every secret in its texts replaced; null texts stay null, all other columns stay as they are."""
+    """docs with every secret in its texts replaced. Null and empty texts stay as they are, and so do all other columns, whatever their names; a text of any
+    length is redacted whole, rows that repeat are redacted each, an empty table gives an empty one."""
     model = train(samples) if samples is not None else None
 
     def run(batches):
