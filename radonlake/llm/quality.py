@@ -1,7 +1,8 @@
 """Quality classifier (operator 9): ridge regression on random Fourier features of document statistics, with isotonic calibration.
 
 The features approximate a Gaussian kernel. Tasks sum their rows' normal equations, whose size is that of the features;
-the driver adds the sums of a fixed number of tasks and solves. Scores are calibrated on counts by bin of the raw score.
+the driver adds the sums of a fixed number of tasks and solves. Scores are calibrated on counts by bin of the raw score, of labelled
+rows that the regression wasn't fitted on.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 FEATURES, WIDTH, RIDGE, SEED = 384, 0.6, 1e-3, 7
-#: Labelled rows that are fitted at most (by the hash of their ids), tasks that sum them, bins of calibration.
-MOST_ROWS, TASKS, BINS = 50_000, 16, 400
+#: Labelled rows that are fitted at most (by the hash of their ids), tasks that sum them, bins of calibration, and of how many rows one is left to calibration.
+MOST_ROWS, TASKS, BINS, ONE_OF = 50_000, 16, 400, 5
 THRESHOLD = 0.7
 _SETS = {name: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for name, chars in {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "mark": b"!?", "bar": b"|", "symbol": b"#*$%&<>~^=+\\@_", "stop": b".", "comma": b",;:", "quote": b"\"'()[]{}", "slash": b"/-", "line": b"\n", "odd": bytes(x for x in range(32) if x not in (9, 10, 13)) + b"\x7f"}.items()}
 _GROUPS = np.stack([*_SETS.values(), (np.arange(256) >= 97) & (np.arange(256) <= 122), np.arange(256) >= 192, (np.arange(256) >= 128) & (np.arange(256) < 192)]).astype(np.float64)
@@ -98,14 +99,28 @@ class Model:
         return np.clip(np.interp(self.raw_scores(stats), self.raw, self.chance), 0, 1)
 
 
+def to_calibrate() -> Column:
+    """The rows that are left to calibration, by the hash of their statistics, so that copies of a text are on one side."""
+    return F.pmod(F.xxhash64("stats"), F.lit(ONE_OF)) == 0
+
+
 def fit(rows: DataFrame) -> Model:
-    """rows (stats, y): labelled rows, of a bounded number. Without rows, or with one label alone, every score is that label's share, or 1/2."""
-    rows = common.cut(rows.repartition(TASKS))
-    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
+    """rows (stats, y): labelled rows, of a bounded number. Without rows, or with one label alone, every score is that label's share, or 1/2.
+
+    One of ONE_OF rows is left to calibration, the others to the regression; where either part lacks a label, all rows are in both.
+    """
+    rows = common.cut(rows.withColumn("calibrate", to_calibrate()).repartition(TASKS))
+    counts = {(c, y): n for c, y, n in rows.groupBy("calibrate", "y").count().collect()}  # four rows
+    n, positive = sum(counts.values()), sum(k for (_, y), k in counts.items() if y > 0.5)
     if not n or positive in (0, n):
         return Model(None, None, np.zeros(1), np.array([positive / n if n else 0.5]))
+    if len(counts) == 4:
+        rows_fit, rows_scale = rows.where("NOT calibrate"), rows.where("calibrate")
+        n, positive = counts[False, 0.0] + counts[False, 1.0], counts[False, 1.0]
+    else:
+        rows_fit = rows_scale = rows
 
-    def partials(what):
+    def partials(of, what):
         def run(batches):
             total = None
             for batch in batches:
@@ -115,10 +130,10 @@ def fit(rows: DataFrame) -> Model:
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
-        parts = common.map_arrow(rows.select("stats", "y"), run, "sums binary").collect()  # one from each of TASKS tasks
+        parts = common.map_arrow(of.select("stats", "y"), run, "sums binary").collect()  # one from each of TASKS tasks
         return sum(np.frombuffer(x[0]) for x in parts)
 
-    moments = partials(lambda x, _: np.concatenate((x.sum(0), (x * x).sum(0))))
+    moments = partials(rows_fit, lambda x, _: np.concatenate((x.sum(0), (x * x).sum(0))))
     mean = moments[:N_STATS] / n
     features = Fourier(mean, np.sqrt(np.maximum(0, moments[N_STATS:] / n - mean**2)))
     share = positive / n
@@ -129,7 +144,7 @@ def fit(rows: DataFrame) -> Model:
         return np.concatenate(((z * w[:, None]).T @ z, ((z * w[:, None]).T @ y)[:, None]), 1).ravel()
 
     size = FEATURES // 2 * 2 + 1
-    sums = partials(equations).reshape(size, size + 1)
+    sums = partials(rows_fit, equations).reshape(size, size + 1)
     weights = np.linalg.solve(sums[:, :-1] + RIDGE * n * np.eye(size), sums[:, -1])
     model = Model(features, weights, np.zeros(1), np.zeros(1))
 
@@ -137,10 +152,10 @@ def fit(rows: DataFrame) -> Model:
         bins = np.clip(((model.raw_scores(x) + 1) / 3 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate((np.bincount(bins, minlength=BINS), np.bincount(bins, y, BINS))).astype(np.float64)
 
-    counts, ones = partials(histogram).reshape(2, BINS)
-    there = np.flatnonzero(counts)
+    seen, ones = partials(rows_scale, histogram).reshape(2, BINS)
+    there = np.flatnonzero(seen)
     model.raw = (there + 0.5) / BINS * 3 - 1
-    model.chance = isotonic(ones[there] / counts[there], counts[there])
+    model.chance = isotonic(ones[there] / seen[there], seen[there])
     return model
 
 
