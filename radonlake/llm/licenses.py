@@ -99,6 +99,242 @@ _NAMED = {
     "notice": [("all rights reserved", r"all rights reserved", 3, 0.3), ("copyright", r"copyright(?: c)? (?:19|20)\d\d", 3, 0.3), ("without warranty", r"without warranty of any kind", 3, 0.3), ("as is", r"(?:software|work) is provided as is", 3, 0.3), ("without any warranty", r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", 2, 0.5), ("proprietary", r"proprietary and confidential", 3, 0.4), ("license", r"see (?:the )?license(?: file)? for (?:details|more information)", 3, 0.4)],
 }
 
+# Licenses known by one name or notice each, and further wordings of those above: (label, keyword, pattern, priority, weight).
+_MORE = (
+    ("mit", "mit licence", r"(?:the )?mit licence", 2, 0.7),
+    ("mit", "distributed under the mit", r"(?:is )?distributed under the mit (?:license|licence|terms)", 1, 0.95),
+    ("mit", "above copyright notice and this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0, 1.0),
+    ("mit", "dual licensed under mit", r"dual licensed under mit and apache", 1, 0.9),
+    ("mit", "licensed under the terms of the mit license", r"licensed under the terms of the mit license", 1, 0.95),
+    ("mit", "license mit", r"license mit", 3, 0.6),
+    ("mit-advertising", "mit license with advertising", r"mit license with advertising(?: clause)?", 0, 0.95),
+    ("mit-cmu", "cmu license", r"(?:the )?cmu license", 2, 0.8),
+    ("mit-cmu", "carnegie mellon university", r"the name of carnegie mellon university may not be used in advertising or publicity", 0, 0.95),
+    ("mit-feh", "mit feh license", r"mit feh license", 0, 0.9),
+    ("mit-modern-variant", "modern variant of the mit license", r"modern variant of the mit license", 0, 0.9),
+    ("hpnd", "historical permission notice and disclaimer", r"historical permission notice and disclaimer", 1, 0.95),
+    ("hpnd", "supporting documentation", r"that both that copyright notice and this permission notice appear in supporting documentation", 0, 0.95),
+    ("ntp", "ntp license", r"ntp license(?: attribution)?", 1, 0.85),
+    ("isc", "isc licence", r"(?:the )?isc licence", 2, 0.8),
+    ("isc", "author disclaims all warranties", r"the software is provided as is and the author disclaims all warranties", 0, 0.9),
+    ("0bsd", "free public license 1 0 0", r"free public license 1 0 0", 0, 0.95),
+    ("apache-1.0", "apache group for use", r"this product includes software developed by the apache group for use in the apache http server project", 0, 1.0),
+    ("apache-1.1", "apache software foundation http", r"this product includes software developed by the apache software foundation http www apache org", 0, 1.0),
+    ("apache-2.0", "asf under one or more", r"licensed to the asf under one or more contributor license agreements", 0, 0.95),
+    ("apache-2.0", "apache license version 2 0 january 2004", r"apache license version 2 0 january 2004", 0, 1.0),
+    ("apache-2.0", "unless required by applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0, 0.95),
+    ("apache-2.0", "spdx license identifier apache 2 0", r"spdx license identifier apache 2 0", 0, 1.0),
+    ("apache-2.0", "license apache 2 0", r"license apache 2 0", 1, 0.9),
+    ("apache-2.0-with-llvm-exception", "apache 2 0 with llvm", r"apache 2 0 with llvm exception", 0, 1.0),
+    ("apache", "apache licence", r"apache licence", 2, 0.7),
+    ("gpl", "gnu general public licence", r"gnu general public licence", 2, 0.8),
+    ("gpl", "free software you can redistribute it", r"(?:this program|it) is free software you can redistribute it and or modify it", 1, 0.8),
+    ("gpl", "received a copy of the gnu general public license", r"you should have received a copy of the gnu general public license along with this program", 0, 0.95),
+    ("gpl", "released under the gpl", r"released under the gpl", 1, 0.9),
+    ("gpl", "covered by the gnu gpl", r"covered by the gnu gpl", 1, 0.9),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", r"spdx license identifier gpl 2 0", 0, 1.0),
+    ("gpl-2.0-only", "spdx license identifier gpl 2 0 only", r"spdx license identifier gpl 2 0 only", 0, 1.0),
+    ("gpl-2.0-or-later", "spdx license identifier gpl 2 0 or later", r"spdx license identifier gpl 2 0 or later", 0, 1.0),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", r"spdx license identifier gpl 3 0", 0, 1.0),
+    ("gpl-3.0-or-later", "spdx license identifier gpl 3 0 or later", r"spdx license identifier gpl 3 0 or later", 0, 1.0),
+    ("gpl-with-classpath-exception", "classpath exception", r"(?:with (?:the )?)?classpath exception(?: 2 0)?", 1, 0.8),
+    ("gpl-with-classpath-exception", "linking this library statically", r"linking this library statically or dynamically with other modules", 0, 0.95),
+    ("gpl-with-gcc-exception", "gcc runtime library exception", r"gcc runtime library exception", 0, 0.95),
+    ("gpl-with-autoconf-exception", "autoconf configure script exception", r"autoconf configure script exception", 0, 0.95),
+    ("gpl-with-bison-exception", "bison parser", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 0, 0.95),
+    ("gpl-with-font-exception", "gpl font exception", r"gpl font exception", 0, 0.9),
+    ("gpl-with-openssl-exception", "openssl exception", r"(?:with (?:an )?)?openssl exception", 1, 0.8),
+    ("gpl-with-linux-syscall-note", "linux syscall note", r"with linux syscall note", 0, 0.95),
+    ("lgpl", "received a copy of the gnu lesser general public license", r"you should have received a copy of the gnu lesser general public license along with this library", 0, 0.95),
+    ("lgpl-2.1", "spdx license identifier lgpl 2 1", r"spdx license identifier lgpl 2 1(?: only| or later)?", 0, 1.0),
+    ("lgpl-3.0", "spdx license identifier lgpl 3 0", r"spdx license identifier lgpl 3 0(?: only| or later)?", 0, 1.0),
+    ("agpl", "received a copy of the gnu affero general public license", r"you should have received a copy of the gnu affero general public license along with this program", 0, 0.95),
+    ("agpl-3.0", "spdx license identifier agpl 3 0", r"spdx license identifier agpl 3 0(?: only| or later)?", 0, 1.0),
+    ("gfdl", "invariant sections no front cover texts", r"with no invariant sections no front cover texts and no back cover texts", 0, 0.95),
+    ("bsd", "bsd licence", r"bsd licence", 2, 0.7),
+    ("bsd", "berkeley software distribution license", r"berkeley software distribution license", 1, 0.85),
+    ("bsd", "bsd licensed", r"bsd licensed", 3, 0.6),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 1, 0.9),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 1, 0.9),
+    ("bsd-1-clause", "bsd 1 clause", r"bsd 1 clause(?: license)?", 0, 0.95),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause", r"spdx license identifier bsd 2 clause", 0, 1.0),
+    ("bsd-2-clause-patent", "bsd 2 clause plus patent", r"bsd 2 clause plus patent(?: license)?", 0, 0.95),
+    ("bsd-2-clause-views", "views and conclusions", r"the views and conclusions contained in the software and documentation are those of the authors", 1, 0.85),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", r"spdx license identifier bsd 3 clause", 0, 1.0),
+    ("bsd-3-clause-clear", "clear bsd license", r"(?:the )?clear bsd license", 0, 0.95),
+    ("bsd-3-clause-lbnl", "lawrence berkeley national labs bsd", r"lawrence berkeley national labs bsd variant license", 0, 0.95),
+    ("bsd-3-clause-no-nuclear", "bsd 3 clause no nuclear", r"bsd 3 clause no nuclear (?:license|warranty)", 0, 0.95),
+    ("bsd-protection", "bsd protection license", r"bsd protection license", 0, 0.95),
+    ("bsd-source-code", "bsd source code attribution", r"bsd source code attribution", 0, 0.9),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", r"spdx license identifier mpl 2 0", 0, 1.0),
+    ("mpl-1.1", "subject to the mozilla public license version 1 1", r"the contents of this file are subject to the mozilla public license version 1 1", 0, 1.0),
+    ("mpl-2.0-no-copyleft-exception", "incompatible with secondary licenses", r"(?:this source code form is )?incompatible with secondary licenses", 0, 0.95),
+    ("npl", "netscape public license", r"netscape public license", 1, 0.95),
+    ("nokia", "nokia open source license", r"nokia open source license", 1, 0.95),
+    ("spl", "sun public license", r"sun public license", 1, 0.9),
+    ("sissl", "sun industry standards source license", r"sun industry standards source license", 1, 0.95),
+    ("epl-2.0", "spdx license identifier epl 2 0", r"spdx license identifier epl 2 0", 0, 1.0),
+    ("epl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 0, 1.0),
+    ("cpal", "common public attribution license", r"common public attribution license", 1, 0.95),
+    ("cpol", "code project open license", r"(?:the )?code project open license", 1, 0.95),
+    ("cua-opl", "cua office public license", r"cua office public license", 1, 0.95),
+    ("rpl", "reciprocal public license", r"reciprocal public license", 1, 0.9),
+    ("rpsl", "realnetworks public source license", r"realnetworks public source license", 1, 0.95),
+    ("apsl", "apple public source license", r"apple public source license", 1, 0.95),
+    ("apl", "adaptive public license", r"adaptive public license", 1, 0.95),
+    ("lpl", "lucent public license", r"lucent public license", 1, 0.95),
+    ("lppl", "latex project public license", r"latex project public license", 1, 0.95),
+    ("lppl", "lppl", r"lppl", 2, 0.7),
+    ("motosoto", "motosoto open source license", r"motosoto open source license", 1, 0.95),
+    ("multics", "multics license", r"multics license", 1, 0.85),
+    ("nasa", "nasa open source agreement", r"nasa open source agreement", 1, 0.95),
+    ("naumen", "naumen public license", r"naumen public license", 1, 0.95),
+    ("ngpl", "nethack general public license", r"nethack general public license", 0, 0.95),
+    ("npsl", "nmap public source license", r"nmap public source license", 1, 0.95),
+    ("nposl", "non profit open software license", r"non profit open software license", 0, 0.95),
+    ("oclc", "oclc research public license", r"oclc research public license", 1, 0.95),
+    ("ogtsl", "open group test suite license", r"open group test suite license", 1, 0.95),
+    ("oldap", "openldap public license", r"openldap public license", 1, 0.95),
+    ("osl", "licensed under the open software license", r"licensed under the open software license", 1, 0.95),
+    ("oset", "oset public license", r"oset public license", 1, 0.95),
+    ("ricoh", "ricoh source code public license", r"ricoh source code public license", 1, 0.95),
+    ("simpl", "simple public license", r"simple public license", 1, 0.9),
+    ("sgi-b", "sgi free software license b", r"sgi free software license b", 1, 0.95),
+    ("sil", "sil international license", r"sil international license", 2, 0.7),
+    ("sybase", "sybase open watcom public license", r"sybase open watcom public license", 1, 0.95),
+    ("vsl", "vovida software license", r"vovida software license", 1, 0.95),
+    ("watcom", "open watcom public license", r"open watcom public license", 1, 0.9),
+    ("wxwindows", "wxwindows library licen", r"wxwindows library licen[cs]e", 1, 0.95),
+    ("xnet", "x net license", r"x net license", 1, 0.85),
+    ("entessa", "entessa public license", r"entessa public license", 1, 0.95),
+    ("ecl", "educational community license", r"educational community license", 1, 0.95),
+    ("efl", "eiffel forum license", r"eiffel forum license", 1, 0.95),
+    ("eudatagrid", "eu datagrid software license", r"eu datagrid software license", 1, 0.95),
+    ("fair", "fair license", r"(?:the )?fair license", 2, 0.75),
+    ("frameworx", "frameworx open license", r"frameworx open license", 1, 0.95),
+    ("imatix", "imatix standard function library", r"imatix standard function library agreement", 1, 0.9),
+    ("intel", "intel open source license", r"intel open source license", 1, 0.95),
+    ("ijg", "independent jpeg group license", r"independent jpeg group license", 1, 0.95),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group", 0, 0.95),
+    ("jasper", "jasper license", r"jasper license(?: version 2 0)?", 2, 0.8),
+    ("miros", "miros licen", r"(?:the )?miros licen[cs]e", 1, 0.9),
+    ("naist", "nara institute of science and technology license", r"nara institute of science and technology license", 1, 0.95),
+    ("netcdf", "netcdf license", r"netcdf license", 1, 0.85),
+    ("newsletr", "newsletr license", r"newsletr license", 1, 0.85),
+    ("noweb", "noweb license", r"noweb license", 1, 0.85),
+    ("opl", "open publication license", r"open publication license", 1, 0.95),
+    ("ogl", "open government licen", r"(?:uk )?open government licen[cs]e", 1, 0.9),
+    ("ogl", "public sector information licensed under", r"contains public sector information licensed under the open government licence", 0, 1.0),
+    ("etalab", "etalab open license", r"(?:the )?etalab open license", 1, 0.95),
+    ("odc", "open data commons", r"open data commons(?: license)?", 3, 0.6),
+    ("cdla-permissive", "community data license agreement permissive", r"community data license agreement permissive", 1, 0.95),
+    ("cdla-sharing", "community data license agreement sharing", r"community data license agreement sharing", 1, 0.95),
+    ("c-uda", "computational use of data agreement", r"computational use of data agreement license", 1, 0.95),
+    ("gutenberg", "project gutenberg license", r"(?:full )?project gutenberg license", 1, 0.95),
+    ("gutenberg", "project gutenberg license included", r"you may copy it give it away or re use it under the terms of the project gutenberg license included", 0, 1.0),
+    ("free-art", "free art license", r"free art license", 1, 0.9),
+    ("free-art", "licence art libre", r"licence art libre", 1, 0.9),
+    ("dsl", "design science license", r"design science license", 1, 0.9),
+    ("against-drm", "against drm license", r"against drm license", 1, 0.9),
+    ("gnu-all-permissive", "copying and distribution of this file", r"copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 0, 1.0),
+    ("gnu-verbatim", "verbatim copying and distribution", r"verbatim copying and distribution of this entire (?:article|document) (?:is|are) permitted in any medium", 0, 0.95),
+    ("cc0", "creative commons zero", r"creative commons zero(?: license)?", 1, 0.9),
+    ("cc0", "spdx license identifier cc0 1 0", r"spdx license identifier cc0 1 0", 0, 1.0),
+    ("cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 0, 0.95),
+    ("cc", "licensed under a creative commons", r"this work is licensed under a creative commons (?:attribution )?licen[cs]e", 1, 0.9),
+    ("cc-pd", "creative commons public domain mark", r"creative commons public domain mark", 0, 0.95),
+    ("cc-sampling", "creative commons sampling plus", r"creative commons sampling plus", 0, 0.95),
+    ("public-domain", "public domain", r"this (?:work|file|software|document) is in the public domain", 1, 0.9),
+    ("public-domain", "no rights reserved", r"no rights reserved", 2, 0.6),
+    ("sqlite-blessing", "disclaims copyright to this source code", r"the author disclaims copyright to this source code in place of a legal notice here is a blessing", 0, 1.0),
+    ("unlicense", "spdx license identifier unlicense", r"spdx license identifier unlicense", 0, 1.0),
+    ("glwtpl", "good luck with that public license", r"good luck with that public license", 0, 0.95),
+    ("postcardware", "postcardware license", r"postcardware license", 2, 0.7),
+    ("careware", "careware license", r"careware license", 2, 0.7),
+    ("bittorrent", "bittorrent open source license", r"bittorrent open source license", 1, 0.95),
+    ("blessing", "may you do good and not evil license", r"may you do good and not evil license", 1, 0.9),
+    ("borceux", "borceux license", r"borceux license", 1, 0.85),
+    ("caldera", "caldera license", r"caldera license", 1, 0.85),
+    ("catosl", "computer associates trusted open source license", r"computer associates trusted open source license", 1, 0.95),
+    ("cnri-python", "cnri python license", r"cnri python license", 0, 0.95),
+    ("cnri-jython", "cnri jython license", r"cnri jython license", 0, 0.95),
+    ("condor", "condor public license", r"condor public license", 1, 0.95),
+    ("crossword", "crossword license", r"crossword license", 1, 0.85),
+    ("crystalstacker", "crystalstacker license", r"crystalstacker license", 1, 0.85),
+    ("d-fsl", "german free software license", r"(?:deutsche freie software lizenz )?german free software license", 1, 0.95),
+    ("doc", "doc software license", r"doc software license", 1, 0.85),
+    ("eurosym", "eurosym license", r"eurosym license", 1, 0.85),
+    ("freetype", "freetype project license", r"(?:the )?freetype project license", 1, 0.95),
+    ("freetype", "freetype license", r"freetype license", 2, 0.85),
+    ("freeimage", "freeimage public license", r"freeimage public license", 1, 0.95),
+    ("fsful", "fsf unlimited license", r"fsf unlimited license", 1, 0.95),
+    ("giftware", "giftware license", r"giftware license", 2, 0.75),
+    ("gl2ps", "gl2ps license", r"gl2ps license", 1, 0.85),
+    ("gnuplot", "gnuplot license", r"gnuplot license", 1, 0.85),
+    ("haskell-report", "haskell language report license", r"haskell language report license", 1, 0.95),
+    ("imagemagick", "imagemagick license", r"imagemagick license", 1, 0.9),
+    ("info-zip", "info zip license", r"info zip license", 1, 0.9),
+    ("interbase", "interbase public license", r"interbase public license", 1, 0.95),
+    ("leptonica", "leptonica license", r"leptonica license", 1, 0.85),
+    ("libtiff", "libtiff license", r"libtiff license", 1, 0.85),
+    ("makeindex", "makeindex license", r"makeindex license", 1, 0.85),
+    ("openpbs", "openpbs software license", r"openpbs software license", 1, 0.9),
+    ("phorum", "phorum license", r"phorum license", 1, 0.85),
+    ("plexus", "plexus classworlds license", r"plexus classworlds license", 1, 0.9),
+    ("qhull", "qhull license", r"qhull license", 1, 0.85),
+    ("rdisc", "rdisc license", r"rdisc license", 1, 0.85),
+    ("rsa-md", "rsa message digest license", r"rsa message digest license", 1, 0.9),
+    ("sax-pd", "sax public domain notice", r"sax public domain notice", 0, 0.95),
+    ("scea", "scea shared source license", r"scea shared source license", 1, 0.95),
+    ("sendmail", "sendmail license", r"sendmail license", 1, 0.85),
+    ("spencer", "spencer license", r"(?:henry )?spencer license", 2, 0.75),
+    ("tapr", "tapr open hardware license", r"tapr open hardware license", 1, 0.95),
+    ("cern-ohl", "cern open hardware licen", r"cern open hardware licen[cs]e", 1, 0.95),
+    ("solderpad", "solderpad hardware license", r"solderpad hardware license", 1, 0.95),
+    ("torque", "torque software license", r"torque software license", 1, 0.85),
+    ("unicode-tou", "unicode terms of use license", r"unicode terms of use license", 0, 0.9),
+    ("w3c", "w3c licen", r"w3c licen[cs]e", 2, 0.8),
+    ("x11", "x consortium license", r"x consortium license", 1, 0.85),
+    ("xerox", "xerox license", r"xerox license", 1, 0.8),
+    ("xfree86", "xfree86 license", r"xfree86 license(?: 1 1)?", 1, 0.85),
+    ("yahoo-ypl", "yahoo public license", r"yahoo public license", 1, 0.95),
+    ("zed", "zed license", r"zed license", 2, 0.7),
+    ("zend", "zend license", r"zend license", 1, 0.85),
+    ("zimbra", "zimbra public license", r"zimbra public license", 1, 0.95),
+    ("polyform-noncommercial", "polyform noncommercial license", r"polyform noncommercial license", 1, 0.95),
+    ("polyform-small-business", "polyform small business license", r"polyform small business license", 1, 0.95),
+    ("prosperity", "prosperity public license", r"prosperity public license", 1, 0.95),
+    ("parity", "parity public license", r"parity public license", 1, 0.95),
+    ("commons-clause", "commons clause license", r"commons clause license(?: condition)?", 1, 0.9),
+    ("confluent", "confluent community license", r"confluent community license", 1, 0.95),
+    ("timescale", "timescale license", r"timescale license(?: agreement)?", 1, 0.9),
+    ("redis", "redis source available license", r"redis source available license", 1, 0.95),
+    ("hippocratic", "hippocratic license", r"hippocratic license", 1, 0.95),
+    ("anti-996", "anti 996 license", r"anti 996 license", 1, 0.95),
+    ("cooperative", "cooperative non violent license", r"cooperative non violent license", 1, 0.9),
+    ("openrail", "openrail", r"(?:creativeml )?openrail m(?: license)?", 1, 0.9),
+    ("bigscience", "bigscience rail license", r"bigscience rail license", 1, 0.95),
+    ("bigcode", "bigcode openrail", r"bigcode openrail m", 0, 0.95),
+    ("llama", "llama", r"llama(?: \d)? community license(?: agreement)?", 1, 0.95),
+    ("gemma", "gemma terms of use license", r"gemma terms of use license", 1, 0.9),
+    ("bcl", "binary code license agreement", r"binary code license agreement", 1, 0.9),
+    ("eula", "end user license agreement", r"end user license agreement", 2, 0.6),
+    ("eula", "microsoft software license terms", r"microsoft software license terms", 1, 0.9),
+    ("proprietary", "commercial license", r"commercial license(?: agreement)?", 3, 0.4),
+    ("proprietary", "evaluation license", r"evaluation license(?: agreement)?", 3, 0.4),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", 1, 0.8),
+    ("shareware", "shareware license", r"shareware license", 2, 0.6),
+    ("freeware", "freeware license", r"freeware license", 2, 0.6),
+    ("trial", "trial license", r"trial license", 3, 0.4),
+    ("cla", "contributor license agreement", r"contributor license agreements?", 3, 0.3),
+    ("notice", "licensed under", r"licensed under the terms of", 3, 0.3),
+    ("notice", "dual licensed", r"dual licensed", 3, 0.4),
+    ("notice", "licensed to you", r"licensed to you under", 3, 0.3),
+    ("notice", "warranties or conditions", r"without warranties or conditions of any kind either express or implied", 2, 0.5),
+    ("notice", "limitation of liability license", r"limitation of liability license", 3, 0.3),
+    ("notice", "license header", r"(?:insert )?license header(?: here)?", 3, 0.3),
+)
+
 # Families whose rules follow from name, keyword and versions.
 _VERSIONS = {
     "gpl": (r"(?:gnu )?(?:general public license|gpl)", ("general public license", "gpl"), ("1", "2", "3")), "lgpl": (r"(?:gnu )?(?:lesser general public license|library general public license|lgpl)", ("general public license", "lgpl"), ("2", "2 1", "3")), "agpl": (r"(?:gnu )?(?:affero general public license|agpl)", ("affero", "agpl"), ("1", "3")),
@@ -112,8 +348,8 @@ _COMMONS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "
 
 
 def rules() -> list[Rule]:
-    """All signature rules in order, some 300: those written above, and those of families with versions."""
-    out = [Rule(label, *rest) for label, found in _NAMED.items() for rest in found]
+    """All signature rules in order: over 300 written one by one above, and those of families with versions."""
+    out = [Rule(label, *rest) for label, found in _NAMED.items() for rest in found] + [Rule(*x) for x in _MORE]
     for label, (name, keywords, versions) in _VERSIONS.items():
         for v in versions:
             number = v if " " in v else f"{v}(?: 0)?"
@@ -134,7 +370,8 @@ def rules() -> list[Rule]:
 
 
 #: Each keyword has one of these; a text without any of them has no detection.
-GATE = ("licen", "gpl", "gfdl", "bsd", "cddl", "eupl", "odbl", "sspl", "wtfpl", "apache", " mpl", " epl", "cecill", " cc by", " cc0", "creative commons", "public domain", "data commons", "copyright", "copyleft", "warranty", "redistribution", "permission", "reserved", "proprietary", "promote", "advertising materials", "free of charge", "restriction", "no attribution", "source code form", "x consortium", "same terms as", " as is", "what the fuck", "openssl toolkit", "w3c software", " ms pl", "mulan", "good not evil", "affero", "european union public", "free software foundation", "illinois ncsa")
+GATE = ("licen", "gpl", "gfdl", "bsd", "cddl", "eupl", "odbl", "sspl", "wtfpl", "apache", " mpl", " epl", "cecill", " cc by", " cc0", "creative commons", "public domain", "data commons", "copyright", "copyleft", "warranty", "redistribution", "permission", "reserved", "proprietary", "promote", "advertising materials", "free of charge", "restriction", "no attribution", "source code form", "x consortium", "same terms as", " as is", "what the fuck", "openssl toolkit", "w3c software", " ms pl", "mulan", "good not evil", "affero", "european union public", "free software", "illinois ncsa",
+        " under the mit", "carnegie mellon", "supporting documentation", "disclaims", " asf under", "applicable law", " exception", "linking this library", "bison parser", "syscall", "invariant sections", "views and conclusions", "accompanying materials", " lppl", "nasa open source", "imatix", "jpeg group", "use of data agreement", "copying and distribution", "openrail", "unauthorized copying", "warranties", " llama")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARK = "\x01"
 
