@@ -29,10 +29,12 @@ def as_bytes(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; where none is named, one of our own, which only a local session can share, so that others raise."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="radonlake-"))
     return named or sc.getCheckpointDir()
 
@@ -43,6 +45,25 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint()
 
 
+#: A key with more than one in MOST_HOT of all rows, and HOT_LEAST at least, is hot; there are fewer than MOST_HOT of those.
+MOST_HOT, HOT_LEAST = 1000, 50_000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has a row for each key and in column n about how many rows that key has.
+
+    Hot keys' rows meet where they are, as fewer than MOST_HOT rows of small are sent to all executors for them; only the others' rows are
+    shuffled. total: how many rows there are. how: inner or left. Column n is left out.
+    """
+    limit = max(HOT_LEAST, total // MOST_HOT)
+    hot = cut(small.where(F.col(n) > limit), 1).drop(n)
+    cool = small.where(F.col(n) <= limit).drop(n)
+    if hot.isEmpty():
+        return rows.join(cool, key, how)
+    sent = F.broadcast(hot)
+    return rows.join(sent, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key, how))
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the driver has it."""
     env = spark.sparkContext.environment

@@ -22,6 +22,8 @@ from .components import components
 BITS, MOST_DIFFERENT, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints below one upper node before it is dealt out again; of a leaf; children of an inner node; fingerprints searched for at once.
 NODE, LEAF, FANOUT, BLOCK = 1 << 15, 16, 8, 256
+#: Fingerprints of complete nodes that a task holds before it compares them.
+AT_ONCE = 1 << 17
 #: Groups up to this size are compared directly.
 SMALL = 48
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -167,14 +169,29 @@ def near_links(distinct: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
     masks, found, rows = refine(0, most), [], None
 
     def run(batches):
-        batch = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if batch is not None and batch.num_rows:
-            mask, value, fps = (batch.column(k).to_numpy() for k in ("mask", "value", "fp"))
-            order = np.lexsort((value, mask))
-            mask, value, fps = mask[order], value[order], fps[order]
+        """Nodes come one after the other, sorted; those that are complete are compared once there are AT_ONCE fingerprints."""
+        held: list[np.ndarray] = []  # mask, value and fp of what isn't compared yet
+        size = 0
+
+        def compare(rows: np.ndarray):
+            mask, value, fps = rows
             node = np.cumsum(np.concatenate(([True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))))
             a, b = link_groups(node, fps.view(np.uint64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy() for k in ("mask", "value", "fp")]))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                rows = np.concatenate(held, 1)
+                new = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))
+                done = int(new[-1]) + 1 if len(new) else 0  # where the last node, which may go on, begins
+                if done:
+                    yield compare(rows[:, :done])
+                held = [rows[:, done:]]
+                size = rows.shape[1] - done
+        if size:
+            yield compare(np.concatenate(held, 1))
 
     def spread(df: DataFrame, by: dict[int, list[int]]) -> DataFrame:
         finer = F.col("finer")
@@ -191,7 +208,7 @@ def near_links(distinct: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
         last = BITS - masks[0].bit_count() <= 16
         done = last or full.isEmpty()
         now = rows if done else rows.join(full, ["mask", "value"], "left_anti")
-        found.append(common.map_arrow(now.repartition("mask", "value"), run, "a long, b long"))
+        found.append(common.map_arrow(now.repartition("mask", "value").sortWithinPartitions("mask", "value"), run, "a long, b long"))
         if done:
             break
         finer = {x: refine(x, most) for x in masks}
@@ -204,34 +221,40 @@ def near_links(distinct: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_DIFFERENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, h, component_id): every row with the least doc_id that links of at most most different bits reach.
+    """(doc_id, fp, h, component_id, root): every row with the least doc_id that links of at most most different bits reach.
 
     Null and wordless texts have fingerprint zero and are linked like others. Rows that repeat a doc_id each get a row. A component whose
-    doc_ids are all null has a null id. An empty table gives an empty one. Copies meet as one fingerprint before the search.
+    doc_ids are all null has a null id; root, one of its fingerprints, names it too. An empty table gives an empty one. Copies meet as one fingerprint before
+    the search; a fingerprint that many rows have isn't shuffled to one task.
     """
     each = common.cut(fingerprints(docs, id_col, text_col))
-    least = common.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = common.cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    total, distinct = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     joined = components(near_links(least.select("fp"), most))
-    root = least.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = common.cut(root.join(ids, "root").select("fp", "component_id"))
-    return each.join(by_fp, "fp").select("doc_id", "fp", "h", "component_id")
+    root = common.cut(least.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    ids = root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    by_fp = common.cut(common.join_hot(root, ids, "root", "prints", distinct).select("fp", "component_id", "root", "n"))
+    return common.join_hot(each, by_fp, "fp", "n", total).select("doc_id", "fp", "h", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST_DIFFERENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less those rows whose component has a lesser doc_id; of rows that repeat a doc_id and text, one stays.
+    """One row of docs for each component of near duplicates: that of the least doc_id, of rows with that one that of the least hash of its text.
 
-    Rows without a doc_id all stay. All columns stay as they are.
+    A row without a doc_id stays only if no row of its component has one. All columns stay as they are; an empty table gives an empty one.
     """
     fresh = lambda name: name if name not in docs.columns else fresh(name + "_")
     own, h = fresh("_own"), fresh("_h")
-    found = near_duplicates(docs, most, id_col, text_col).where("doc_id = component_id")
-    stay = common.cut(found.groupBy(F.col("doc_id").alias(own), F.col("h").alias(h)).agg(F.count("*").alias("n")))
+    found = near_duplicates(docs, most, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias(own), F.col("x.h").alias(h))
+    rows = found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("x")).agg(F.count("*").alias("n"))
+    same = lambda a, b, x, y: a.eqNullSafe(b) & (x == y)
+    stay = common.cut(first.join(rows, same(F.col(own), F.col("d"), F.col(h), F.col("x"))).select(own, h, "n"))
     tagged = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).withColumn(own, F.col(f"`{id_col}`"))
-    out = tagged.join(stay.where("n = 1").select(own, h), [own, h], "left_semi").unionByName(tagged.where(F.col(own).isNull()))
-    repeated = stay.where("n > 1").select(own, h)
+    pick = lambda kept: tagged.alias("t").join(kept.alias("k"), same(F.col(f"t.{own}"), F.col(f"k.{own}"), F.col(f"t.{h}"), F.col(f"k.{h}")), "left_semi")
+    out = pick(stay.where("n = 1"))
+    repeated = stay.where("n > 1")
     if not repeated.isEmpty():  # the rows of these alone are shuffled to choose one
-        out = out.unionByName(tagged.join(repeated, [own, h], "left_semi").dropDuplicates([own, h]))
+        out = out.unionByName(pick(repeated).dropDuplicates([own, h]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
