@@ -21,6 +21,8 @@ MIN_CHARS, MIN_DOCS = 1, 10
 HASHES, BITS_A_LINE, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 2, 16, 1 << 20, 1 << 28, 1 << 19
 #: Digests sent to all workers at most (48 bytes each), and keys a task counts before it passes them on.
 MOST_SENT, HELD = 1_000_000, 300_000
+#: Bytes of a usual line, by which the number of lines is told from the texts' length where it only sets what counts as a hot key.
+MEAN_LINE, COUNTS = 60, ("n_lines", "n_dropped")
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -102,7 +104,7 @@ def is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(digest, first_doc, first_line): keys of at least min_chars code points in at least min_docs rows. docs: (doc_id, text)."""
+    """(digest, first_doc, first_line, n): keys of at least min_chars code points in at least min_docs rows, and in how many. docs: (doc_id, text)."""
     bitmap = docs.sparkSession.sparkContext.broadcast(suspects_filter(docs, min_chars))
 
     def count(batches):
@@ -150,9 +152,9 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
 
     def digests(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(k) for k in batch.column(0).to_pylist()], pa.binary()), batch.column(1), batch.column(2)], ["digest", "first_doc", "first_line"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(k) for k in batch.column(0).to_pylist()], pa.binary()), *batch.columns[1:]], ["digest", "first_doc", "first_line", "n"])
 
-    return common.map_arrow(often.select("key", "first.first_doc", "first.first_line"), digests, f"digest binary, first_doc {kind}, first_line long")
+    return common.map_arrow(often.select("key", "first.first_doc", "first.first_line", "n"), digests, f"digest binary, first_doc {kind}, first_line long, n long")
 
 
 def kept_lines(text: bytes, doc, dropped: dict, keep_first: bool) -> tuple[bytes, int, int]:
@@ -168,27 +170,33 @@ def kept_lines(text: bytes, doc, dropped: dict, keep_first: bool) -> tuple[bytes
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
-    """docs with each text less its repeated lines, and n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", most_sent: int = MOST_SENT, counts: bool = True) -> DataFrame:
+    """docs with each text less its repeated lines, and, with counts, n_lines (before) and n_dropped.
 
     A row is a document, whether or not its doc_id repeats. A null or empty text is one empty line, which is never dropped; the text becomes an empty
     string. keep_first leaves a key's first line where it is: in the least doc_id that has it (rows that share that doc_id and place all keep it; keys
-    of documents without a doc_id only lose all). Columns of the input named n_lines or n_dropped give way to the new ones.
+    of documents without a doc_id only lose all). Columns of the input named n_lines or n_dropped give way to the new ones, or stay as they are without counts.
     """
-    rest = docs.drop("n_lines", "n_dropped")
+    rest = docs.drop(*COUNTS) if counts else docs
     hot = common.cut(repeated(common.texts(rest, id_col, text_col), min_chars, min_docs))
     names, kinds = rest.columns, {f.name: f.dataType.simpleString() for f in rest.schema.fields}
-    schema = ", ".join(f"`{k}` {'string' if k == text_col else kinds[k]}" for k in names) + ", n_lines long, n_dropped long"
+    schema = ", ".join(f"`{k}` {'string' if k == text_col else kinds[k]}" for k in names) + ", n_lines long, n_dropped long" * counts
     data = rest.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
     few = hot.count() <= most_sent
+
+    def with_counts(batch: pa.RecordBatch, at: int, found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        own = [pa.array([x[0] for x in found], pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+        more = [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)] if counts else []
+        return pa.RecordBatch.from_arrays([*own, *more], [*names, *COUNTS[: len(more)]])
+
     if few:
-        sent = docs.sparkSession.sparkContext.broadcast({bytes(d): (doc, n) for d, doc, n in hot.collect()})
+        sent = docs.sparkSession.sparkContext.broadcast({bytes(d): (doc, line) for d, doc, line, _ in hot.collect()})
 
         def apply(batches):
             for batch in batches:
                 at, doc_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index(id_col)
                 found = [kept_lines(t, d, sent.value, keep_first) for t, d in zip(batch.column(at).to_pylist(), batch.column(doc_at).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(batch.columns)] + [pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)], [*names, "n_lines", "n_dropped"])
+                yield with_counts(batch, at, found)
 
         return common.map_arrow(data, apply, schema)
 
@@ -205,16 +213,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     tagged = data.withColumn(tag, own)
     kind = rest.schema[id_col].dataType.simpleString()
-    once = tagged.groupBy(F.col(tag).alias("tag")).agg(F.min(f"`{id_col}`").alias("doc"), F.first(f"`{text_col}`").alias("text"))
+    once = common.cut(tagged.groupBy(F.col(tag).alias("tag")).agg(F.min(f"`{id_col}`").alias("doc"), F.first(f"`{text_col}`").alias("text"), F.count("*").alias("n")))
     lines = common.map_arrow(once.select("tag", "doc", "text"), explode, f"tag string, doc {kind}, digest binary, line long")
-    gone = lines.join(hot, "digest")
+    size = once.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0)) / MEAN_LINE).first()
+    gone = common.join_hot(lines, hot, "digest", "n", int(size[1]))
     if keep_first:
         gone = gone.where(~F.coalesce((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line")), F.lit(False)))
-    by_tag = gone.groupBy(F.col("tag").alias(tag)).agg(F.collect_list("line").alias(drops))
-    joined = tagged.join(by_tag, tag, "left").drop(tag)
-    parts = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    kept = F.when(F.col(drops).isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(drops, i.cast("long"))), "\n"))
-    return joined.select(*(kept.alias(k) if k == text_col else F.col(f"`{k}`") for k in names), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"))
+    by_tag = gone.groupBy("tag").agg(F.collect_list("line").alias(drops))
+    by_tag = common.cut(once.select("tag", "n").join(by_tag, "tag", "left")).withColumnRenamed("tag", tag).withColumnRenamed("n", fresh("_n"))
+    joined = common.join_hot(tagged, by_tag, tag, fresh("_n"), size[0])
+
+    def without(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            found = []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                parts, gone = text.split(b"\n"), set(gone or ())
+                found.append((b"\n".join(x for k, x in enumerate(parts) if k not in gone) if gone else text, len(parts), len(gone)))
+            yield with_counts(batch, at, found)
+
+    return common.map_arrow(joined.select(*(F.col(f"`{k}`") for k in names), drops), without, schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
