@@ -80,10 +80,11 @@ def roi_select(o: DataFrame, rows: int, cols: int, radius2: float) -> DataFrame:
 
 
 def clip_circle(o: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """A square image with 0 outside its inner circle, and one row (n) with how many pixels are inside."""
+    """A square image of n by n pixels with 0 outside its inner circle, and one row (n) with how many pixels of the grid are outside, whether or not o has them."""
     x, y = f"(r - {num((n - 1) / 2)})", f"(c - {num((n - 1) / 2)})"
     inside = f"{x} * {x} + {y} * {y} <= {num(n * n / 4)}"
-    return o.selectExpr("r", "c", f"CASE WHEN {inside} THEN v ELSE 0e0 END AS v"), o.where(inside).agg(F.count("*").alias("n"))
+    grid = o.sparkSession.range(n).selectExpr("CAST(id AS INT) AS r").selectExpr("r", f"explode(sequence(0, {n - 1})) AS c")
+    return o.selectExpr("r", "c", f"CASE WHEN {inside} THEN v ELSE 0e0 END AS v"), grid.where(f"NOT ({inside})").agg(F.count("*").alias("n"))
 
 
 def imscale(o: DataFrame) -> DataFrame:

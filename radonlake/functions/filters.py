@@ -10,10 +10,11 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import num
+from .workers import map_arrow
 
 WINDOWS = ("ram-lak", "shepp-logan", "cosine", "hamming", "hann", "tukey", "lanczos", "triangular", "gaussian", "barlett-hann", "blackman", "nuttall", "blackman-harris", "blackman-nuttall", "flat-top", "kaiser", "parzen")
 CUSTOM = ("projection", "sinogram", "rprojection", "rsinogram")
@@ -90,11 +91,6 @@ def kernel(half: tuple[float, ...], n: int) -> tuple[float, ...]:
     return tuple(np.fft.irfft(np.array(half), n)[: n // 2 + 1].tolist())
 
 
-def lag_table(spark: SparkSession, taps: dict[int, float]) -> DataFrame:
-    """(m, h): a filter's taps by lag, as many as a detector row has lags."""
-    return spark.createDataFrame(sorted((int(m), float(h)) for m, h in taps.items()), "m int, h double")
-
-
 def taps_of(name: str, detectors: int, parameter: float = -1.0, d: float = 1.0) -> dict[int, float]:
     n = size_for(detectors)
     h = kernel(spectrum(name, n, parameter, d), n)
@@ -113,18 +109,34 @@ def taps_of_custom(kind: str, values: list[float], detectors: int) -> dict[int,
 
 
 def filter_rows(sino: DataFrame, taps: dict[int, float] | dict[int, dict[int, float]], detectors: int, by: tuple[str, ...] = ("a",)) -> DataFrame:
-    """Each row of the sinogram convolved with the taps (one table, or one by view): (by, d, p).
+    """Each row of the sinogram convolved with the taps (one table, or one by view): (by, d, p). Absent cells of a row count as 0.
 
-    A row is packed as an array and convolved where it lies, so that each value is shuffled once.
+    Rows are packed as arrays, so that each value is shuffled once, and transformed by batch; a transform of twice the row's length makes the
+    circular convolution the plain one.
     """
-    spark = sino.sparkSession
-    rows = sino.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("row"))
+    n, size = detectors, size_for(detectors)
     one = not isinstance(next(iter(taps.values())), dict)
-    if one:
-        table = "array(" + ", ".join(num(taps[m]) for m in range(1 - detectors, detectors)) + ")"
-        rows = rows.selectExpr(*by, "row", f"{table} AS h")
-    else:
-        known = spark.createDataFrame([(int(a), [float(x[m]) for m in range(1 - detectors, detectors)]) for a, x in taps.items()], "a int, h array<double>")
-        rows = rows.join(known, "a").select(*by, "row", "h")
-    n = detectors
-    return rows.selectExpr(*by, "row", "h", f"explode(sequence(0, {n - 1})) AS d").selectExpr(*by, "d", f"aggregate(sequence(0, {n - 1}), 0e0D, (s, j) -> s + coalesce(row[j], 0e0) * h[d - j + {n - 1}]) AS p".replace("0e0D", "CAST(0 AS DOUBLE)"))
+
+    def response(t: dict[int, float]) -> np.ndarray:
+        h = np.zeros(size)
+        for m in range(1 - n, n):
+            h[m % size] = t.get(m, 0.0)
+        return np.fft.rfft(h)
+
+    known = {None: response(taps)} if one else {int(a): response(t) for a, t in taps.items()}
+    kinds = dict(sino.dtypes)
+    rows = sino.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("row"))
+    rows = rows.selectExpr(*by, f"transform(sequence(0, {n - 1}), d -> coalesce(row[d], CAST(0 AS DOUBLE))) AS row")
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(len(by)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            views = [None] * len(x) if one else batch.column(by.index("a")).to_pylist()
+            there = np.array([v in known for v in views], bool)
+            h = np.stack([known[v] for v, ok in zip(views, there, strict=True) if ok]) if there.any() else np.zeros((0, size // 2 + 1))
+            y = np.fft.irfft(np.fft.rfft(x[there], size) * h, size)[:, :n]
+            kept = batch.filter(pa.array(there))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(len(by))), pa.array(list(y), pa.list_(pa.float64()))], [*by, "row"])
+
+    done = map_arrow(rows, run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", row array<double>")
+    return done.select(*by, F.posexplode("row").alias("d", "p"))

@@ -41,9 +41,10 @@ class Volume:
     def shape(self) -> tuple[int, ...]:
         return (self.slices, self.rows, self.cols) if self.slices else (self.rows, self.cols)
 
-    def moved(self, *by: float) -> Volume:
-        """The same grid elsewhere."""
-        return replace(self, window=tuple(x + by[k // 2] for k, x in enumerate(self.window)))
+    def moved(self, *by: float, absolute: bool = False) -> Volume:
+        """The same grid elsewhere: shifted by so much along x, y (and z), or, if absolute, with its centre there."""
+        middle = [(a + b) / 2 if absolute else 0.0 for a, b in zip(self.window[::2], self.window[1::2], strict=True)]
+        return replace(self, window=tuple(x + by[k // 2] - middle[k // 2] for k, x in enumerate(self.window)))
 
 
 @dataclass(frozen=True)
@@ -207,3 +208,32 @@ def fan_parameters(view: tuple[float, ...], n: int) -> tuple[float, float, float
     width = math.hypot(*view[4:])
     ox, oy = view[5] / width, -view[4] / width
     return math.atan2(view[5], view[4]), width, abs(view[0] * ox + view[1] * oy), abs((view[2] * ox) + view[3] * oy)
+
+
+def circular_fan(g: Projection) -> tuple[list[float], float, float, float]:
+    """(angles, distance of the source, distance of the detector, detector width) of a fan geometry, those of the last view for all.
+
+    Each view's source must be over the origin, as seen along the detector's normal, else this raises.
+    """
+    found = []
+    for v in g.views:
+        source, step = math.hypot(*v[:2]), math.hypot(*v[4:])
+        if abs(v[0] * v[4] + v[1] * v[5]) > 1e-4 * source * step:
+            raise ValueError("this fan has a source that isn't over the origin")
+        near = -(v[2] * v[4] + v[3] * v[5]) / (step * step)
+        found.append((math.atan2(v[5], v[4]), source, math.hypot(v[2] + near * v[4], v[3] + near * v[5]), step))
+    angles = list(g.angles) if g.angles else [x[0] for x in found]
+    return angles, *found[-1][1:]
+
+
+def circular_cone(g: Projection) -> tuple[list[float], float, float, float, float, float]:
+    """(angles, distance of the source, distance of the detector, widths along u and v, shift along z) of an upright cone geometry, by its first view.
+
+    u must lie across the z axis and v along it, else this raises.
+    """
+    if any(abs(v[8]) > 1e-4 * math.hypot(*v[6:9]) or math.hypot(v[9], v[10]) > 1e-4 * abs(v[11]) for v in g.views):
+        raise ValueError("this cone's detector isn't upright")
+    v = g.views[0]
+    centre = [v[3 + i] + g.cols / 2 * v[6 + i] + g.rows / 2 * v[9 + i] for i in range(3)]
+    angles = [math.pi - math.atan2(x[0], x[1]) for x in g.views]
+    return angles, math.hypot(v[0], v[1]), math.hypot(*centre[:2]), math.hypot(*v[6:9]), abs(v[11]), centre[2] - v[2]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.arrays import filled
+from . import pixel_driven as pd3
 from .geometry import Projection, Volume
 from .weights import rays_of, weights
 
@@ -80,6 +82,47 @@ class Projector:
         return self.matrix().selectExpr(f"CAST(a * {self.g.cols} + d AS INT) AS row", f"CAST(r * {self.v.cols} + c AS INT) AS col", "w AS val")
 
 
+class PixelProjector(Projector):
+    """Forward projection along rays and back projection by pixels, which isn't its transpose; subrays for each detector pixel, subpixels along each axis of a pixel."""
+
+    def __init__(self, spark: SparkSession, g: Projection, v: Volume, subrays: int = 1, subpixels: int = 1):
+        super().__init__(spark, g, v, "cuda", subrays)
+        self.subpixels = subpixels
+
+    def bp(self, sino: DataFrame, mask: DataFrame | None = None, ray_mask: DataFrame | None = None) -> DataFrame:
+        source = masked(sino, ray_mask, RAY).select("a", "d", "p")
+        return masked(pd3.bp_pixel(self.spark, self.g, self.v, source, subpixels=self.subpixels), mask, PIXEL)
+
+    def pixel_weight(self) -> DataFrame:
+        return self.bp(self.rays().withColumn("p", F.lit(1.0))).withColumnRenamed("v", "s")
+
+
+KERNELS_3D = ("default", "sum_square_weights", "2d_weighting", "matched_bp")
+
+
+class Projector3D:
+    """A projection geometry and a volume geometry in 3D, and a kernel: sum_square_weights changes forward projection, the other two back projection."""
+
+    def __init__(self, spark: SparkSession, g: Projection, v: Volume, kernel: str = "default", subrays: int = 1, subvoxels: int = 1):
+        if kernel not in KERNELS_3D:
+            raise ValueError(f"{kernel} is no kernel")
+        self.spark, self.g, self.v, self.kernel, self.subrays, self.subvoxels = spark, g, v, kernel, subrays, subvoxels
+
+    def fp(self, volume: DataFrame) -> DataFrame:
+        return pd3.fp_3d(self.spark, self.g, self.v, volume, self.kernel == "sum_square_weights", self.subrays)
+
+    def bp(self, sino: DataFrame) -> DataFrame:
+        if self.kernel == "matched_bp":
+            return pd3.bp_matched_3d(self.spark, self.g, self.v, sino, self.subrays)
+        return pd3.bp_voxel(self.spark, self.g, self.v, sino, "2d_weighting" if self.kernel == "2d_weighting" else "default", self.subvoxels)
+
+    def rays(self) -> DataFrame:
+        return filled(self.spark, self.g.shape, "sino3d").drop("p")
+
+    def pixels(self) -> DataFrame:
+        return filled(self.spark, self.v.shape, "vol3d").drop("v")
+
+
 def grid(spark: SparkSession, v: Volume) -> DataFrame:
     rows = spark.range(v.rows).selectExpr("CAST(id AS INT) AS r")
     return rows.selectExpr("r", f"explode(sequence(0, {v.cols - 1})) AS c")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import num
-from .geometry import Projection, create_proj_geom
+from .geometry import Projection
 
 
 def downsample(sino: DataFrame, factor: int, square: bool = False) -> DataFrame:
@@ -88,11 +88,36 @@ def overlay(image: DataFrame, over: DataFrame, share: float = 0.5) -> DataFrame:
     return df.selectExpr("r", "c", f"CASE WHEN coalesce(w, 0e0) <> 0e0 THEN {num(1 - share)} * v + {num(share)} * w ELSE v END AS v")
 
 
-def nearest(df: DataFrame, keys: list[str], distance: str) -> DataFrame:
-    """Of the rows of a key the nearest."""
-    w = Window.partitionBy(*keys).orderBy(F.expr(distance))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def overlay_rgb(image: DataFrame, truth: DataFrame) -> DataFrame:
+    """(r, c, red, green, blue): the image as red and the truth as green, each by its largest value. The two numbers join as one row each."""
+    scaled = lambda df, name: df.join(F.broadcast(df.agg(F.max("v").alias("top")))).selectExpr("r", "c", f"v / top AS {name}")
+    return scaled(image, "red").join(scaled(truth, "green"), ["r", "c"], "full").fillna(0.0, ["red", "green"]).withColumn("blue", F.lit(0.0))
 
 
-def parallel_of(g: Projection) -> Projection:
-    return create_proj_geom("parallel", math.hypot(*g.views[0][4:]), g.cols, list(g.angles))
+def kaiser_bessel(points, alpha: float, radius: float, order: int = 0) -> list[float]:
+    """A Kaiser-Bessel window of that order (0 to 2), alpha and radius at distances from its middle, 0 outside.
+
+    (1 - (r / a)^2)^(m / 2) I_m(alpha sqrt(1 - (r / a)^2)) / I_m(alpha), by the series of the modified Bessel function.
+    """
+    if order not in (0, 1, 2):
+        raise ValueError("the order is 0, 1 or 2")
+
+    def bessel(x: float) -> float:
+        term = (x / 2) ** order / math.factorial(order)
+        total, k = term, 0
+        while term > 1e-17 * total:
+            k += 1
+            term *= (x / 2) ** 2 / (k * (k + order))
+            total += term
+        return total
+
+    out = []
+    for r in points:
+        q = 1 - (r / radius) ** 2
+        out.append(math.sqrt(q) ** order * bessel(alpha * math.sqrt(q)) / bessel(alpha) if q >= 0 else 0.0)
+    return out
+
+
+def linspace2(first: float, last: float, n: int) -> list[float]:
+    """n evenly spaced numbers from first on, of which the next would be last."""
+    return [first + (last - first) * k / n for k in range(n)]

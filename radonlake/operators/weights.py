@@ -35,7 +35,7 @@ def ray_columns(g: Projection, v: Volume, subrays: int = 1) -> list[tuple[str, .
             f"CASE WHEN steep THEN abs((ux - uy * rx / ry) / {num(px)}) / 2e0 ELSE abs((uy - ux * ry / rx) / {num(py)}) / 2e0 END AS half",
             "abs(ux * ry - uy * rx) / norm AS width",
         ),
-        ("*", f"CASE WHEN steep THEN (x + ({num(first_y)} - y) * m - {num(first_x)}) / {num(px)} ELSE -(y + ({num(first_x)} - x) * m - {num(first_y)}) / {num(py)} END AS t0", f"CASE WHEN steep THEN -m * {num(py / px)} ELSE -m * {num(px / py)} END AS dt", f"CASE WHEN steep THEN {v.rows} ELSE {v.cols} END AS steps"),
+        ("*", "sqrt(1e0 + m * m) AS tilt", f"CASE WHEN steep THEN (x + ({num(first_y)} - y) * m - {num(first_x)}) / {num(px)} ELSE -(y + ({num(first_x)} - x) * m - {num(first_y)}) / {num(py)} END AS t0", f"CASE WHEN steep THEN -m * {num(py / px)} ELSE -m * {num(px / py)} END AS dt", f"CASE WHEN steep THEN {v.rows} ELSE {v.cols} END AS steps"),
     ]
 
 
@@ -44,14 +44,23 @@ def _area(x: str, s: str, t: str) -> str:
     return f"CASE WHEN {x} >= {t} THEN 1e0 WHEN {x} > {s} THEN 1e0 - ({t} - {x}) * ({t} - {x}) / (2e0 * ({t} - {s})) WHEN {x} > -{s} THEN 0.5e0 + {x} WHEN {x} > -{t} THEN ({x} + {t}) * ({x} + {t}) / (2e0 * ({t} - {s})) ELSE 0e0 END"
 
 
+def _beside(x: str, m: str) -> str:
+    """Share of a pixel left of a line of any slope m that crosses its middle row at x."""
+    s, t = f"(abs(1e0 - abs({m})) / 2e0)", f"((1e0 + abs({m})) / 2e0)"
+    near, bend = f"least(abs({x}), {t})", f"greatest(least(abs({x}), {t}) - {s}, 0e0)"
+    return f"0.5e0 + sign({x}) * least(1e0, 1e0 / greatest(abs({m}), 1e-300)) * ({near} - CASE WHEN {t} > {s} THEN {bend} * {bend} / (2e0 * ({t} - {s})) ELSE 0e0 END)"
+
+
 def candidates(kernel: str, v: Volume, reach: float = 0.0) -> tuple[str, str]:
     """First and last pixel q of a step that may have weight, by t, half and m."""
     if kernel in ("line", "line_fanflat"):
         return "floor(t + 0.5e0) - 1", "floor(t + 0.5e0) + 1"
     if kernel in ("linear", "cuda"):
         return "floor(t)", "floor(t) + 1"
-    if kernel == "blob":
-        return f"floor(t - {num(reach)})", f"ceil(t + {num(reach)})"
+    if kernel == "blob":  # whole parts, so that a ray that just misses the grid still meets its first pixel
+        return f"greatest(0e0, t - {num(0.5 + reach)})", f"t + {num(0.5 + reach)}"
+    if kernel == "strip_fanflat":
+        return "floor(least(t, t1) - 0.5e0 - greatest(abs(m), abs(m1)) / 2e0)", "ceil(greatest(t, t1) + 0.5e0 + greatest(abs(m), abs(m1)) / 2e0)"
     return "floor(t - half - 1e0)", "ceil(t + half + 1e0)"
 
 
@@ -67,29 +76,39 @@ def weight(kernel: str, v: Volume, blob: tuple[float, list[float]] | None = None
         left, right = "(o - half)", "(o + half)"
         return f"CASE WHEN m = 0e0 THEN greatest(0e0, least({right}, 0.5e0) - greatest({left}, -0.5e0)) ELSE ({_area(right, s, t)}) - ({_area(left, s, t)}) END * {area} / width"
     if kernel == "strip_fanflat":
-        left, right = "(o - near)", "(o + near)"
         source = sum(g.distances)
         du = (g.views[0][4] ** 2 + g.views[0][5] ** 2) ** 0.5
         lever = f"(({num(source**2)} + (d + 0.5e0 - {num(g.cols / 2)}) * (d + 0.5e0 - {num(g.cols / 2)}) * {num(du**2)}) / {num(source * du)})"
         px, py = v.pixel[:2]
         cx = f"({num(v.window[0] + px / 2)} + (CASE WHEN steep THEN q ELSE k END) * {num(px)} - ex)"
         cy = f"({num(v.window[3] - py / 2)} - (CASE WHEN steep THEN k ELSE q END) * {num(py)} - ey)"
-        return f"(({_area(right, s, t)}) - ({_area(left, s, t)})) * {area} * {lever} / sqrt({cx} * {cx} + {cy} * {cy})"
+        return f"abs(({_beside('(t - q)', 'm')}) - ({_beside('(t1 - q)', 'm1')})) * {area} * {lever} / sqrt({cx} * {cx} + {cy} * {cy})"
     if kernel == "distance_driven":
         return f"greatest(0e0, least(q + 1e0, t + 0.5e0 + half) - greatest(q + 0e0, t + 0.5e0 - half)) * {area} / width"
     raise ValueError(f"{kernel} is no kernel")
 
 
 def blob_index(v: Volume, blob: tuple[float, list[float]]) -> str:
-    """Place, from 1, in a blob's table of the value for o."""
+    """Place, from 1, in a blob's table of the value for o: the distance from the ray in blobs, with the length of the pixels along which the ray walks."""
     size, table = blob
-    return f"CAST(least({len(table) - 1}, floor(abs(o) / {num(size)} / (len / {num(v.pixel[0])}) * {num(len(table))} + 0.5e0)) + 1 AS INT)"
+    px, py = v.pixel[:2]
+    return f"CAST(least({len(table) - 1}, floor(abs(o) * (CASE WHEN steep THEN {num(py)} ELSE {num(px)} END) / {num(size)} / tilt * {num(len(table))} + 0.5e0)) + 1 AS INT)"
 
 
-def near_half(v: Volume) -> str:
-    """A fan strip's half width where a step crosses it: that at the detector by the distances from the source."""
+def edge_columns(g: Projection, v: Volume) -> list[tuple[str, ...]]:
+    """Stages from views and detector numbers to the two edges of a fan's strip: positions t0 and slope m of the ray through the pixel's beginning, the same with 1 for its end, and the walk of its middle."""
     px, py = v.pixel[:2]
-    return f"half * abs(CASE WHEN steep THEN ({num(v.window[3] - py / 2)} - k * {num(py)} - ey) / (y - ey) ELSE ({num(v.window[0] + px / 2)} + k * {num(px)} - ex) / (x - ex) END) AS near"
+    first_x, first_y = v.window[0] + px / 2, v.window[3] - py / 2
+    at = [f"(dx + (d + {k}) * ux) AS x{n}, (dy + (d + {k}) * uy) AS y{n}" for n, k in (("", "0e0"), ("1", "1e0"))]
+    keep = "a, d, ex, ey"
+    slope = lambda n: f"CASE WHEN steep THEN (ex - x{n}) / (ey - y{n}) ELSE (ey - y{n}) / (ex - x{n}) END AS m{n}"
+    start = lambda n: f"CASE WHEN steep THEN (x{n} + ({num(first_y)} - y{n}) * m{n} - {num(first_x)}) / {num(px)} ELSE -(y{n} + ({num(first_x)} - x{n}) * m{n} - {num(first_y)}) / {num(py)} END AS t0{n}"
+    step = lambda n: f"CASE WHEN steep THEN -m{n} * {num(py / px)} ELSE -m{n} * {num(px / py)} END AS dt{n}"
+    return [
+        (keep, *(y for x in at for y in x.split(", ")), "abs(ex - dx - (d + 0.5e0) * ux) < abs(ey - dy - (d + 0.5e0) * uy) AS steep"),
+        (keep, "x", "y", "x1", "y1", "steep", slope(""), slope("1")),
+        (keep, "steep", "m", "m1", start(""), start("1"), step(""), step("1"), f"CASE WHEN steep THEN {v.rows} ELSE {v.cols} END AS steps"),
+    ]
 
 
 def rays_of(spark: SparkSession, g: Projection, subrays: int = 1) -> DataFrame:
@@ -108,6 +127,8 @@ def weights(spark: SparkSession, g: Projection, v: Volume, kernel: str = "linear
         n = v.cols
         found = g.matrix.selectExpr(f"CAST(row DIV {g.cols} AS INT) AS a", f"CAST(row % {g.cols} AS INT) AS d", f"CAST(col DIV {n} AS INT) AS r", f"CAST(col % {n} AS INT) AS c", "val AS w")
         return found if rays is None else found.join(rays, ["a", "d"])
+    if kernel == "strip_fanflat" and subrays > 1:
+        raise ValueError("a strip takes in the whole detector pixel")
     if kernel == "strip_fanflat" and g.kind != "fanflat":
         raise ValueError("the fan strip kernel takes a fanflat geometry")
     if rays is None:
@@ -115,17 +136,17 @@ def weights(spark: SparkSession, g: Projection, v: Volume, kernel: str = "linear
     else:
         all_rays = rays.join(g.table(spark), "a")
         all_rays = all_rays if subrays == 1 else all_rays.selectExpr("*", f"explode(sequence(0, {subrays - 1})) AS s")
-    stages = ray_columns(g, v, subrays)
+    fan_strip = kernel == "strip_fanflat"
+    stages = edge_columns(g, v) if fan_strip else ray_columns(g, v, subrays)
     df = all_rays
     own = [x.strip() for x in keep.split(",") if x.strip()]
-    for stage in stages[:-1]:
-        df = df.selectExpr(*own, *(y.strip() for x in stage for y in ([x] if " AS " in x else x.split(","))))
-    df = df.selectExpr(*stages[-1])
-    df = df.selectExpr("*", "explode(sequence(0, steps - 1)) AS k").selectExpr("*", "t0 + k * dt AS t")
-    if kernel == "strip_fanflat":
-        df = df.selectExpr("*", near_half(v))
+    for stage in stages:
+        df = df.selectExpr(*stage) if stage[0] == "*" else df.selectExpr(*own, *(y.strip() for x in stage for y in ([x] if " AS " in x else x.split(","))))
+    df = df.selectExpr("*", "explode(sequence(0, steps - 1)) AS k").selectExpr("*", "t0 + k * dt AS t", *(["t01 + k * dt1 AS t1"] if fan_strip else []))
     reach = blob[0] if blob else 0.0
     low, high = candidates(kernel, v, reach)
+    if kernel == "blob":
+        df = df.where(f"CAST({low} AS INT) <= CAST({high} AS INT)")
     df = df.selectExpr("*", f"explode(sequence(CAST({low} AS INT), CAST({high} AS INT))) AS q").where(f"q >= 0 AND q < CASE WHEN steep THEN {v.cols} ELSE {v.rows} END")
     df = df.selectExpr("*", "t - q AS o")
     if kernel == "blob":

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import map_arrow, on_workers
 from ..operators.geometry import Projection, Volume
 from ..operators.project import Projector
+from ..sources.arrays import from_array
 from . import recon
 
-MOST_CELLS, BLOCK = 4_000_000, 1 << 14
+#: Cells of a volume at most; cells of a block; bytes of all tasks' sums that go to the driver without meeting on executors first.
+MOST_CELLS, BLOCK, MOST_COLLECTED = 4_000_000, 1 << 14, 64 << 20
 KERNELS = ("line", "linear", "strip", "distance_driven")
 
 
@@ -65,8 +69,77 @@ def view_weights(view: tuple[float, ...], v: Volume, cols: int, kernel: str) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Strips:
+    """The strip kernel of a view without its weights: a ray's share of a pixel is the difference of what lies beside its two edges, which neighbours share.
+
+    Along each step of the walk an edge has whole pixels on one side, whose sum is a running total, and at most two that it cuts.
+    """
+
+    def __init__(self, view: tuple[float, ...], v: Volume, cols: int):
+        ex, ey, dx, dy, ux, uy = view
+        px, py = v.pixel[:2]
+        d = np.arange(cols + 1)
+        x, y = dx + d * ux, dy + d * uy
+        first_x, first_y = v.window[0] + px / 2, v.window[3] - py / 2
+        self.steep, self.shape, self.cols = abs(ex) < abs(ey), v.shape, cols
+        if self.steep:
+            m, dt = ex / ey, -(ex / ey) * py / px
+            t0, self.steps, self.wide = (x + (first_y - y) * m - first_x) / px, v.rows, v.cols
+        else:
+            m, dt = ey / ex, -(ey / ex) * px / py
+            t0, self.steps, self.wide = -(y + (first_x - x) * m - first_y) / py, v.cols, v.rows
+        s, e = 0.5 - abs(m) / 2, 0.5 + abs(m) / 2
+        self.scale = px * py * float(np.hypot(ex, ey)) / abs(ux * ey - uy * ex) * (1.0 if t0[-1] >= t0[0] else -1.0)
+        t = t0[:, None] + dt * np.arange(self.steps)
+        q = np.floor(t - e).astype(np.int64) + 1  # the first pixel that isn't wholly beside the edge
+        row = np.arange(self.steps) * (self.wide + 1)
+        self.whole = (np.clip(q, 0, self.wide) + row).ravel()
+        self.cut = []
+        for j in (0, 1):
+            there = (q + j >= 0) & (q + j < self.wide) & (t - (q + j) > -e)
+            edge, step = np.nonzero(there)
+            at = q[there] + j
+            self.cut.append((edge, at + step * self.wide, _area(t[there] - at, s, e)))
+
+    def forward(self, image: np.ndarray) -> np.ndarray:
+        """Ray sums of an image of the volume's shape."""
+        rows = image if self.steep else image.T
+        sums = np.zeros((self.steps, self.wide + 1))
+        np.cumsum(rows, 1, out=sums[:, 1:])
+        total = sums.ravel()[self.whole].reshape(self.cols + 1, -1).sum(1)
+        flat = np.ascontiguousarray(rows).ravel()
+        for edge, cell, share in self.cut:
+            total += np.bincount(edge, flat[cell] * share, self.cols + 1)
+        return self.scale * np.diff(total)
+
+    def back(self, ray: np.ndarray) -> np.ndarray:
+        """The transpose of forward."""
+        edges = self.scale * (np.concatenate(([0.0], ray)) - np.concatenate((ray, [0.0])))
+        totals = np.bincount(self.whole, np.repeat(edges, self.steps), self.steps * (self.wide + 1)).reshape(self.steps, -1)
+        out = np.cumsum(totals[:, :0:-1], 1)[:, ::-1]
+        flat = np.ascontiguousarray(out).ravel()
+        for edge, cell, share in self.cut:
+            flat += np.bincount(cell, edges[edge] * share, len(flat))
+        image = flat.reshape(self.steps, self.wide)
+        return image if self.steep else image.T
+
+
+class Weighted:
+    """A view of another kernel by its weights."""
+
+    def __init__(self, view: tuple[float, ...], v: Volume, cols: int, kernel: str):
+        self.ray, self.pixel, self.w = view_weights(view, v, cols, kernel)
+        self.cols, self.shape = cols, v.shape
+
+    def forward(self, image: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ray, self.w * image.ravel()[self.pixel], self.cols)
+
+    def back(self, ray: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pixel, self.w * ray[self.ray], self.shape[0] * self.shape[1]).reshape(self.shape)
+
+
 class Sweep:
-    """A sinogram (a, d, p) packed by view on the executors, and passes over it."""
+    """A sinogram (a, d, p) packed by view on the executors, and passes over it. Rays that it lacks, or whose value is null, don't count, as in the joins."""
 
     def __init__(self, spark: SparkSession, g: Projection, v: Volume, kernel: str, sino: DataFrame | None = None, tasks: int | None = None):
         if v.rows * v.cols > MOST_CELLS or not g.kind.startswith("parallel") or g.rows or kernel not in KERNELS:
@@ -75,49 +148,58 @@ class Sweep:
         self.tasks = tasks or spark.sparkContext.defaultParallelism
         views = g.table(spark)
         if sino is not None:
-            rows = sino.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("m")).selectExpr("a", f"transform(sequence(0, {g.cols - 1}), d -> coalesce(m[d], 0e0)) AS p")
-            views = views.join(rows, "a")
+            rows = sino.where("p IS NOT NULL").groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("m"))
+            views = views.join(rows.selectExpr("a", f"transform(sequence(0, {g.cols - 1}), d -> m[d]) AS p"), "a")
         else:
-            views = views.selectExpr("*", "CAST(array() AS array<double>) AS p")
+            views = views.selectExpr("*", "CAST(NULL AS array<double>) AS p")
         self.views = recon.cut(views.repartition(self.tasks, "a"))
 
     def pass_over(self, volume: np.ndarray, what: str) -> np.ndarray | DataFrame:
-        """what: project gives (a, d, p); update gives the sum of W' ((b - W x) / row sums), weights that of W' 1."""
+        """what: project gives (a, d, p); update gives the sum of W' ((b - W x) / row sums), weights that of W' 1, over the sinogram's rays."""
         v, cols, kernel, cells = self.v, self.g.cols, self.kernel, self.v.rows * self.v.cols
-        sent = self.spark.sparkContext.broadcast(np.asarray(volume, np.float64).ravel())
+        sent = self.spark.sparkContext.broadcast(np.asarray(volume, np.float64).reshape(v.shape))
 
         def run(batches):
-            x, total = sent.value, np.zeros(cells)
+            x, ones, total = sent.value, np.ones(v.shape), np.zeros(v.shape)
             for batch in batches:
-                for row in batch.itertuples(index=False):
-                    ray, pixel, w = view_weights(tuple(row[1:7]), v, cols, kernel)
+                columns = [c.to_pylist() for c in batch.columns]
+                for a, *view, p in zip(*columns, strict=True):
+                    own = Strips(tuple(view), v, cols) if kernel == "strip" else Weighted(tuple(view), v, cols, kernel)
+                    seen = np.ones(cols, bool) if p is None else np.array([y is not None for y in p])
                     if what == "weights":
-                        total += np.bincount(pixel, w, cells)
+                        total += own.back(seen.astype(np.float64))
                         continue
-                    p = np.bincount(ray, w * x[pixel], cols)
+                    q = own.forward(x)
                     if what == "project":
-                        yield pd.DataFrame({"a": row.a, "d": np.arange(cols, dtype=np.int32), "p": p})
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(cols, a, np.int32)), pa.array(np.arange(cols, dtype=np.int32)), pa.array(q)], ["a", "d", "p"])
                         continue
-                    sums = np.bincount(ray, w, cols)
-                    gap = (np.asarray(row.p) - p) * np.where(sums > recon.GATE, 1 / np.maximum(sums, recon.GATE), 0.0)
-                    total += np.bincount(pixel, w * gap[ray], cells)
+                    sums = own.forward(ones)
+                    gap = (np.array([y or 0.0 for y in p]) - q) * seen * np.where(sums > recon.GATE, 1 / np.maximum(sums, recon.GATE), 0.0)
+                    total += own.back(gap)
             if what != "project":
-                yield pd.DataFrame({"block": range(0, cells, BLOCK), "sums": [total[k : k + BLOCK].tobytes() for k in range(0, cells, BLOCK)]})
+                flat = total.ravel()
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(0, cells, BLOCK), pa.int64()), "sums": [flat[k : k + BLOCK].tobytes() for k in range(0, cells, BLOCK)]})
 
         if what == "project":
-            return self.views.mapInPandas(run, "a int, d int, p double")
-
-        def meet(pdf):
-            return pd.DataFrame({"block": pdf.block[:1], "sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]})
-
-        parts = self.views.mapInPandas(run, "block long, sums binary").groupBy("block").applyInPandas(meet, "block long, sums binary").collect()  # at most MOST_CELLS numbers
-        return np.concatenate([np.frombuffer(x.sums) for x in sorted(parts)])
+            return map_arrow(self.views, run, "a int, d int, p double")
+        parts = map_arrow(self.views, run, "block long, sums binary")
+        if self.tasks * cells * 8 > MOST_COLLECTED:
+            on_workers(self.spark)
+            parts = parts.groupBy("block").applyInPandas(lambda pdf: pd.DataFrame({"block": pdf.block[:1], "sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]}), "block long, sums binary")
+        out = np.zeros(cells)
+        for block, sums in parts.collect():  # at most MOST_COLLECTED bytes, or MOST_CELLS numbers
+            out[block : block + BLOCK] += np.frombuffer(sums)
+        sent.destroy()
+        return out
 
 
 def sirt(spark: SparkSession, g: Projection, v: Volume, kernel: str, sino: DataFrame, iterations: int, relaxation: float = 1.0, low: float | None = None, high: float | None = None) -> DataFrame:
-    """SIRT's volume (r, c, v) from zero: in blocks of arrays where the volume is small enough, else by joins."""
-    if v.rows * v.cols > MOST_CELLS or not g.kind.startswith("parallel") or kernel not in KERNELS:
-        return recon.SIRT(Projector(spark, g, v, kernel), sino, relaxation=relaxation, low=low, high=high).run(iterations)
+    """SIRT's volume (r, c, v) from zero: in blocks of arrays where the volume is small enough, else by joins, which give the same."""
+    if v.rows * v.cols > MOST_CELLS or not g.kind.startswith("parallel") or g.rows or kernel not in KERNELS:
+        method = recon.SIRT(Projector(spark, g, v, kernel), sino.where("p IS NOT NULL"), relaxation=relaxation, low=low, high=high)
+        out = method.run(iterations)
+        method.release()
+        return out
     sweep = Sweep(spark, g, v, kernel, sino)
     x = np.zeros(v.rows * v.cols)
     sums = sweep.pass_over(x, "weights")
@@ -126,6 +208,4 @@ def sirt(spark: SparkSession, g: Projection, v: Volume, kernel: str, sino: DataF
         x = x + scale * sweep.pass_over(x, "update")
         if low is not None or high is not None:
             x = np.clip(x, low, high)
-    from ..sources.arrays import from_array
-
     return from_array(spark, x.reshape(v.shape), "vol2d")

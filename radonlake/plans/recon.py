@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.text import num
+from ..operators import geometry as geo
 from ..operators import pixel_driven as pd3
 from ..operators.geometry import Projection, Volume
 from ..operators.project import PIXEL, RAY, Projector, grid, masked
@@ -28,22 +29,33 @@ def inverse(s: str) -> str:
 class Method:
     """What iterative methods share: projector, measured sinogram, masks, bounds, and the volume so far."""
 
-    def __init__(self, projector: Projector, sino: DataFrame, start: DataFrame | None = None, mask: DataFrame | None = None, ray_mask: DataFrame | None = None, low: float | None = None, high: float | None = None, relaxation: float = 1.0, hold: bool = True):
-        self.projector = projector.hold() if hold and projector._held is None else projector
+    def __init__(self, projector: Projector, sino: DataFrame, start: DataFrame | None = None, mask: DataFrame | None = None, ray_mask: DataFrame | None = None, low: float | None = None, high: float | None = None, relaxation: float = 1.0, hold: bool = True, low_mask: DataFrame | None = None, high_mask: DataFrame | None = None):
+        self.holds = hold and projector._held is None
+        self.projector = projector.hold() if self.holds else projector
+        self.bounds = {k: x.select("r", "c", F.col(next(c for c in x.columns if c not in PIXEL)).alias(k)) for k, x in (("lo", low_mask), ("hi", high_mask)) if x is not None}
         self.spark = projector.spark
         self.sino = masked(sino.select("a", "d", "p"), ray_mask, RAY)
         self.mask, self.low, self.high, self.relaxation = mask, low, high, relaxation
         zero = filled(self.spark, projector.v.shape, "vol2d")
         self.volume = cut(start.select("r", "c", "v") if start is not None else zero)
 
+    def release(self) -> None:
+        """Lets go of W, if this method made it be held."""
+        if self.holds:
+            self.projector.release()
+
     def clamped(self, v: str) -> str:
         if self.low is not None:
             v = f"greatest({v}, {num(self.low)})"
-        return f"least({v}, {num(self.high)})" if self.high is not None else v
+        v = f"least({v}, {num(self.high)})" if self.high is not None else v
+        v = f"greatest({v}, lo)" if "lo" in self.bounds else v  # a cell that has no bound is left as it is
+        return f"least({v}, hi)" if "hi" in self.bounds else v
 
     def updated(self, change: DataFrame, form: str) -> None:
         """volume := form of v and x, the change's value, in the reconstruction mask; other cells stay."""
         df = self.volume.join(change.select("r", "c", F.col("v").alias("x")), PIXEL, "left").fillna(0.0, ["x"])
+        for bound in self.bounds.values():
+            df = df.join(bound, PIXEL, "left")
         new = self.clamped(form)
         if self.mask is not None:
             own = next(c for c in self.mask.columns if c not in PIXEL)
@@ -69,12 +81,10 @@ class SIRT(Method):
 
     def __init__(self, *args, **options):
         super().__init__(*args, **options)
-        w = self.projector.matrix()
-        if self.mask is not None:
-            w = masked(w, self.mask, PIXEL)
-        w = w.join(self.sino.select(*RAY), RAY, "left_semi")
-        self.rays = cut(w.groupBy("a", "d").agg(F.sum("w").alias("s")).selectExpr("a", "d", f"{inverse('s')} AS s"))
-        self.pixels = cut(w.groupBy("r", "c").agg(F.sum("w").alias("s")).selectExpr("r", "c", f"{inverse('s')} AS s"))
+        ones = self.inside(grid(self.spark, self.projector.v).withColumn("v", F.lit(1.0)))
+        lengths = self.projector.fp(ones).join(self.sino.select(*RAY), RAY, "left_semi")
+        self.rays = cut(lengths.selectExpr("a", "d", f"{inverse('p')} AS s"))
+        self.pixels = cut(self.inside(self.projector.bp(self.sino.withColumn("p", F.lit(1.0)))).selectExpr("r", "c", f"{inverse('v')} AS s"))
 
     def step(self) -> None:
         gap = self.projector.residual(self.sino, self.volume).join(self.rays, RAY).selectExpr("a", "d", "p * s AS p")
@@ -107,12 +117,15 @@ class SART(Method):
         self.order = list(dict.fromkeys(order)) if order else list(range(len(self.projector.g.views)))
         self.at = 0
 
-    def step(self) -> None:
+    def view(self) -> DataFrame:
+        """The rays of the next view."""
         a = self.order[self.at % len(self.order)]
         self.at += 1
-        rays = self.sino.where(F.col("a") == a)
-        w = self.projector.matrix(rays.select(*RAY))
-        w = masked(w, self.mask, PIXEL)
+        return self.sino.where(F.col("a") == a)
+
+    def step(self) -> None:
+        rays = self.view()
+        w = masked(self.projector.matrix(rays.select(*RAY)), self.mask, PIXEL)
         length, weight = w.groupBy("a", "d").agg(F.sum("w").alias("length")), w.groupBy("r", "c").agg(F.sum("w").alias("weight"))
         fp = w.join(self.volume, PIXEL).groupBy("a", "d").agg(F.sum(F.col("w") * F.col("v")).alias("q"))
         gap = rays.join(fp, RAY, "left").join(length, RAY).selectExpr("a", "d", "p - coalesce(q, 0e0) AS p", "length")
@@ -120,6 +133,19 @@ class SART(Method):
         self.updated(back, f"v + {num(self.relaxation)} * x")
 
 
+class PixelSART(SART):
+    """SART with pixel-driven back projection, whose density of rays and pixel weights cancel out: a pixel takes what its place on the view has."""
+
+    def step(self) -> None:
+        rays = self.view()
+        own = rays.select(*RAY)
+        length = self.projector.fp(self.inside(grid(self.spark, self.projector.v).withColumn("v", F.lit(1.0))), own).selectExpr("a", "d", f"{inverse('p')} AS s")
+        fp = self.projector.fp(self.volume, own).withColumnRenamed("p", "q")
+        gap = rays.join(fp, RAY, "left").join(length, RAY).selectExpr("a", "d", "(p - coalesce(q, 0e0)) * s AS p")
+        back = pd3.bp_pixel(self.spark, self.projector.g, self.projector.v, gap, plain=True)
+        self.updated(self.inside(back), f"v + {num(self.relaxation)} * x")
+
+
 class ART(Method):
     """One ray a step: x += relaxation (b - <w, x>) / <w, w> w; only the ray's pixels are clamped."""
 
@@ -168,113 +194,150 @@ class CGLS(Method):
         self.p = cut(z.join(self.p.withColumnRenamed("v", "x"), PIXEL).selectExpr("r", "c", f"v + {num(beta)} * x AS v"))
 
 
+def filtered(rows: DataFrame, g: Projection, name: str, parameter: float, d: float, taps: dict | None, by: tuple[str, ...] = ("a",)) -> DataFrame:
+    """Rows filtered by name, or by a user's taps; none leaves them as they are."""
+    if taps is None and name == "none":
+        return rows
+    return filters.filter_rows(rows, taps or filters.taps_of(name, g.cols, parameter, d), g.cols, by)
+
+
 def fbp(projector: Projector, sino: DataFrame, name: str = "ram-lak", parameter: float = -1.0, d: float = 1.0, taps: dict | None = None) -> DataFrame:
-    """Filtered back projection of a parallel geometry: (r, c, v)."""
+    """Filtered back projection of a parallel geometry: (r, c, v). taps: a user's filter, by lag, or by view and lag."""
     g = projector.g
     if not g.kind.startswith("parallel"):
         raise ValueError("this method takes parallel rays")
-    filtered = sino if name == "none" and taps is None else filters.filter_rows(sino, taps or filters.taps_of(name, g.cols, parameter, d), g.cols)
     px, py = projector.v.pixel[:2]
-    return projector.bp(filtered).selectExpr("r", "c", f"v * {num(math.pi / (2 * len(g.views) * px * py))} AS v")
+    return projector.bp(filtered(sino, g, name, parameter, d, taps)).selectExpr("r", "c", f"v * {num(math.pi / (2 * len(g.views) * px * py))} AS v")
 
 
-def fan_weight(g: Projection) -> str:
-    """The cosine of each ray to the central one, by d."""
-    source, detector = g.distances
-    width = math.hypot(*g.views[0][4:])
-    u = f"((d - {num((g.cols - 1) / 2)}) * {num(width)})"
-    return f"{num(source + detector)} / sqrt({num((source + detector) ** 2)} + {u} * {u})"
+def relative_angles(angles: list[float]) -> tuple[list[float], float]:
+    """Each view's turn from the lower end of the scan, from 0 to 2 pi, and the range that was scanned, with a step after its last view."""
+    turn = 2 * math.pi
+    base = angles[0] if (angles[1] - angles[0] + math.pi) % turn - math.pi >= 0 else angles[-1]
+    found = [(t - base) % turn for t in angles]
+    # A view as good as at the base is there, and not a turn on.
+    found = [0.0 if turn - t < 1e-9 else t for t in found]
+    return found, abs(found[-1] - found[0]) / (len(angles) - 1) * len(angles)
 
 
-def parker_weight(g: Projection) -> str:
-    """The short-scan weight of ray (a, d), with column angle: the turn since the first view. As smooth as sin squared at both ends."""
-    half = math.atan(g.cols / 2 * math.hypot(*g.views[0][4 if not g.rows else 6 :][: 2 if not g.rows else 3]) / sum(g.distances))
-    turn = abs(g.angles[-1] - g.angles[0]) * (1 + 1 / max(1, len(g.angles) - 1))
-    delta = max((turn - math.pi) / 2, half * 1e-3)
-    width = math.hypot(*g.views[0][4 if not g.rows else 6 :][: 2 if not g.rows else 3])
-    gamma = f"atan((d - {num((g.cols - 1) / 2)}) * {num(width / sum(g.distances))})"
-    rise = f"sin({num(math.pi / 4)} * angle / ({num(delta)} - {gamma}))"
-    fall = f"sin({num(math.pi / 4)} * ({num(math.pi + 2 * delta)} - angle) / ({num(delta)} + {gamma}))"
-    return f"CASE WHEN angle < 2e0 * ({num(delta)} - {gamma}) THEN {rise} * {rise} WHEN angle < {num(math.pi)} - 2e0 * {gamma} THEN 1e0 WHEN angle < {num(math.pi + 2 * delta)} THEN {fall} * {fall} ELSE 0e0 END"
+def parker_weight(n: int, width: float, whole: float, scanned: float, d: str = "d") -> str:
+    """The short-scan weight of a fan's ray, by column angle (the view's turn) and detector number; whole: distance of source and detector.
 
+    Each line is seen by one ray or by two, whose weights add up to 1: they rise and fall as squared sines over the ends of the scan. The scale makes the sum over
+    views that of a scan of half a turn.
+    """
+    half = abs(math.atan(width * n / 2 / whole))
+    gamma = f"atan(({d} - {num((n - 1) / 2)}) * {num(width / whole)})"
+    rise, fall = f"sin({num(math.pi / 4)} * angle / ({num(half)} + {gamma}))", f"sin({num(math.pi / 4)} * ({num(math.pi + 2 * half)} - angle) / ({num(half)} - {gamma}))"
+    share = f"CASE WHEN angle <= 0e0 THEN 0e0 WHEN angle <= 2e0 * ({num(half)} + {gamma}) THEN {rise} * {rise} WHEN angle <= {num(math.pi)} + 2e0 * {gamma} THEN 1e0 WHEN angle <= {num(math.pi + 2 * half)} THEN {fall} * {fall} ELSE 0e0 END"
+    return f"{num(scanned / math.pi)} * ({share})"
 
-def with_parker(sino: DataFrame, g: Projection) -> DataFrame:
-    turns = sino.sparkSession.createDataFrame([(k, abs(float(t - g.angles[0]))) for k, t in enumerate(g.angles)], "a int, angle double")
+
+def with_parker(sino: DataFrame, angles: list[float], n: int, width: float, whole: float) -> DataFrame:
+    """The sinogram (a, d, p) or (dv, a, du, p) times its short-scan weights; a scan of one view is left as it is."""
+    if len(angles) < 2:
+        return sino
+    turns, scanned = relative_angles(angles)
     keys = [c for c in sino.columns if c != "p"]
-    d = "d" if "d" in keys else "du"
-    return sino.join(turns, "a").withColumn("d", F.col(d)).selectExpr(*keys, f"p * ({parker_weight(g)}) AS p")
+    table = sino.sparkSession.createDataFrame(list(enumerate(map(float, turns))), "a int, angle double")
+    return sino.join(F.broadcast(table), "a").selectExpr(*keys, f"p * ({parker_weight(n, width, whole, scanned, 'd' if 'd' in keys else 'du')}) AS p")  # a row for each view
+
+
+def fan_weight(n: int, width: float, whole: float) -> str:
+    """The cosine of a fan's ray to the central one, by d."""
+    u = f"((d - {num((n - 1) / 2)}) * {num(width)})"
+    return f"{num(whole)} / sqrt({num(whole * whole)} + {u} * {u})"
 
 
-def fbp_pixel(spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, name: str = "ram-lak", short: bool = False, parameter: float = -1.0, d: float = 1.0) -> DataFrame:
-    """Filtered back projection with pixel-driven back projection, of parallel and fan geometries."""
-    fan = g.kind == "fanflat"
-    width = math.hypot(*g.views[0][4:])
-    work = sino.selectExpr("a", "d", f"p * ({fan_weight(g)}) AS p") if fan else sino
-    work = with_parker(work, g) if short and fan else work
-    filtered = work if name == "none" else filters.filter_rows(work, filters.taps_of(name, g.cols, parameter, d), g.cols)
-    source, detector = g.distances if fan else (1.0, 0.0)
-    scale = math.pi / (2 * len(g.views)) * ((source + detector) / source / width if fan else 1.0)
-    return pd3.bp_pixel(spark, g, v, filtered, fbp=fan).selectExpr("r", "c", f"v * {num(scale)} AS v")
+def fbp_pixel(spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, name: str = "ram-lak", short: bool = False, parameter: float = -1.0, d: float = 1.0, taps: dict | None = None) -> DataFrame:
+    """Filtered back projection with pixel-driven back projection, of parallel and fan geometries; vectors of a fan give their circle. short: of a short scan of a fan."""
+    work, scale = sino, math.pi / (2 * len(g.views))
+    if g.diverges:
+        angles, source, detector, width = geo.circular_fan(g)
+        whole = source + detector
+        work = sino.selectExpr("a", "d", f"p * ({fan_weight(g.cols, width, whole)}) AS p")
+        work = with_parker(work, angles, g.cols, width, whole) if short else work
+        scale *= whole / source / width
+    work = filtered(work, g, name, parameter, d, taps)
+    return pd3.bp_pixel(spark, g, v, work, fbp=g.diverges).selectExpr("r", "c", f"v * {num(scale)} AS v")
 
 
-def fdk(spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, name: str = "ram-lak", short: bool = False) -> DataFrame:
-    """Cone-beam reconstruction: weights by the ray's length, filter along rows, voxel-driven back projection."""
-    if g.kind != "cone":
+def fdk(spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, name: str = "ram-lak", short: bool = False, parameter: float = -1.0, d: float = 1.0, taps: dict | None = None, subvoxels: int = 1) -> DataFrame:
+    """Cone-beam reconstruction: weights by the ray's length, filter along rows, voxel-driven back projection. Vectors must be those of an upright cone; its detector may be shifted along z."""
+    if not g.kind.startswith("cone"):
         raise ValueError("this method takes a cone geometry")
-    source, detector = g.distances
-    su, sv = math.hypot(*g.views[0][6:9]), math.hypot(*g.views[0][9:12])
+    angles, source, detector, su, sv, shift = geo.circular_cone(g)
     whole = source + detector
-    u, w = f"((du - {num((g.cols - 1) / 2)}) * {num(su)})", f"((dv - {num((g.rows - 1) / 2)}) * {num(sv)})"
+    u, w = f"((du - {num((g.cols - 1) / 2)}) * {num(su)})", f"((dv - {num((g.rows - 1) / 2)}) * {num(sv)} + {num(shift)})"
     weighted = sino.selectExpr("dv", "a", "du", f"p * {num(whole * whole / (su * source) * math.pi / 2 / len(g.views))} / sqrt({num(whole * whole)} + {u} * {u} + {w} * {w}) AS p")
-    weighted = with_parker(weighted, g) if short else weighted
-    taps = filters.taps_of(name, g.cols)
-    rows = filters.filter_rows(weighted.withColumnRenamed("du", "d"), taps, g.cols, ("dv", "a")).withColumnRenamed("d", "du")
-    return pd3.bp_voxel(spark, g, v, rows, "fdk")
+    weighted = with_parker(weighted, angles, g.cols, su, whole) if short else weighted
+    rows = filtered(weighted.withColumnRenamed("du", "d"), g, name, parameter, d, taps, ("dv", "a")).withColumnRenamed("d", "du")
+    return pd3.bp_voxel(spark, g, v, rows, "fdk", subvoxels)
 
 
 class Volume3D:
-    """SIRT and CGLS in 3D: matched = False takes voxel-driven back projection."""
+    """SIRT and CGLS in 3D. matched = False takes voxel-driven back projection; masks are tables of cells that count where their value isn't 0; start: the first volume.
 
-    def __init__(self, spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, matched: bool = True, low: float | None = None, high: float | None = None, relaxation: float = 1.0):
-        self.spark, self.g, self.v, self.sino, self.matched, self.low, self.high, self.relaxation = spark, g, v, sino, matched, low, high, relaxation
-        self.volume = cut(filled(spark, v.shape, "vol3d"))
-        self.keys, self.ray = ["z", "r", "c"], ["dv", "a", "du"]
+    Rays that sino lacks don't count, and neither do those of a ray mask's 0. subrays and subvoxels: as in fp_3d and bp_voxel.
+    """
+
+    def __init__(self, spark: SparkSession, g: Projection, v: Volume, sino: DataFrame, matched: bool = True, low: float | None = None, high: float | None = None, relaxation: float = 1.0, start: DataFrame | None = None, mask: DataFrame | None = None, ray_mask: DataFrame | None = None, subrays: int = 1, subvoxels: int = 1):
+        self.spark, self.g, self.v, self.matched, self.low, self.high, self.relaxation = spark, g, v, matched, low, high, relaxation
+        self.keys, self.ray, self.mask, self.subrays, self.subvoxels = ["z", "r", "c"], ["dv", "a", "du"], mask, subrays, subvoxels
+        self.sino = masked(sino.select(*self.ray, "p"), ray_mask, self.ray)
+        grid3 = filled(spark, v.shape, "vol3d")
+        self.volume = cut(start.select(*self.keys, "v") if start is not None else grid3)
+        self.grid = masked(grid3, mask, self.keys).select(*self.keys)
 
     def bp(self, sino: DataFrame) -> DataFrame:
-        return (pd3.bp_matched_3d if self.matched else pd3.bp_voxel)(self.spark, self.g, self.v, sino)
+        if self.matched:
+            out = pd3.bp_matched_3d(self.spark, self.g, self.v, sino, self.subrays)
+        else:
+            out = pd3.bp_voxel(self.spark, self.g, self.v, sino, subvoxels=self.subvoxels)
+        return masked(out, self.mask, self.keys)
 
     def fp(self, volume: DataFrame) -> DataFrame:
-        return pd3.fp_3d(self.spark, self.g, self.v, volume)
+        return pd3.fp_3d(self.spark, self.g, self.v, volume, subrays=self.subrays)
+
+    def residual(self, sino: DataFrame) -> DataFrame:
+        return sino.join(self.fp(self.volume).withColumnRenamed("p", "q"), self.ray, "left").selectExpr(*self.ray, "p - coalesce(q, 0e0) AS p")
+
+    def residual_norm(self) -> float:
+        return math.sqrt(self.residual(self.sino).agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0)
+
+    def clamped(self, v: str) -> str:
+        v = f"greatest({v}, {num(self.low)})" if self.low is not None else v
+        return f"least({v}, {num(self.high)})" if self.high is not None else v
+
+    def updated(self, change: DataFrame, form: str) -> None:
+        """volume := form of v and x in the mask; other cells stay."""
+        inside = self.grid.withColumn("m", F.lit(1))
+        df = self.volume.join(change.select(*self.keys, F.col("v").alias("x")), self.keys, "left").fillna(0.0, ["x"]).join(inside, self.keys, "left")
+        self.volume = cut(df.selectExpr(*self.keys, f"CASE WHEN m = 1 THEN {self.clamped(form)} ELSE v END AS v"))
 
     def sirt(self, iterations: int) -> DataFrame:
-        ones = filled(self.spark, self.v.shape, "vol3d", 1.0)
-        rays = cut(self.fp(ones).selectExpr(*self.ray, f"{inverse('p')} AS s"))
-        pixels = cut(self.bp(filled(self.spark, self.g.shape, "sino3d", 1.0)).selectExpr(*self.keys, f"{inverse('v')} AS s"))
+        rays = cut(self.fp(self.grid.withColumn("v", F.lit(1.0))).selectExpr(*self.ray, f"{inverse('p')} AS s"))
+        pixels = cut(self.bp(self.sino.withColumn("p", F.lit(1.0))).selectExpr(*self.keys, f"{inverse('v')} AS s"))
         for _ in range(iterations):
-            gap = self.sino.join(self.fp(self.volume).withColumnRenamed("p", "q"), self.ray, "left").join(rays, self.ray).selectExpr(*self.ray, "(p - coalesce(q, 0e0)) * s AS p")
-            back = self.bp(gap).join(pixels, self.keys).selectExpr(*self.keys, "v * s AS x")
-            new = f"v + {num(self.relaxation)} * coalesce(x, 0e0)"
-            new = f"greatest({new}, {num(self.low)})" if self.low is not None else new
-            new = f"least({new}, {num(self.high)})" if self.high is not None else new
-            self.volume = cut(self.volume.join(back, self.keys, "left").selectExpr(*self.keys, f"{new} AS v"))
+            gap = self.residual(self.sino).join(rays, self.ray).selectExpr(*self.ray, "p * s AS p")
+            self.updated(self.bp(gap).join(pixels, self.keys).selectExpr(*self.keys, "v * s AS v"), f"v + {num(self.relaxation)} * x")
         return self.volume
 
     def cgls(self, iterations: int) -> DataFrame:
-        r = self.sino
-        grid3 = filled(self.spark, self.v.shape, "vol3d").select(*self.keys)
-        full = lambda df: cut(grid3.join(df, self.keys, "left").fillna(0.0, ["v"]))
+        r = cut(self.residual(self.sino))
+        full = lambda df: cut(self.grid.join(df, self.keys, "left").fillna(0.0, ["v"]))
+        square = lambda df, c: df.agg(F.sum(F.col(c) * F.col(c))).first()[0] or 0.0
         p = full(self.bp(r))
-        gamma = p.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+        gamma = square(p, "v")
         for _ in range(iterations):
-            w = cut(self.fp(p))
-            ww = w.agg(F.sum(F.col("p") * F.col("p"))).first()[0]
-            if not ww:
+            w = cut(self.fp(p).join(self.sino.select(*self.ray), self.ray, "left_semi"))
+            if not (ww := square(w, "p")):
                 break
             alpha = gamma / ww
-            self.volume = cut(self.volume.join(p.withColumnRenamed("v", "x"), self.keys).selectExpr(*self.keys, f"v + {num(alpha)} * x AS v"))
+            self.updated(p, f"v + {num(alpha)} * x")
             r = cut(r.join(w.withColumnRenamed("p", "q"), self.ray, "left").selectExpr(*self.ray, f"p - {num(alpha)} * coalesce(q, 0e0) AS p"))
             z = full(self.bp(r))
-            now = z.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+            now = square(z, "v")
             beta, gamma = now / gamma if gamma else 0.0, now
             p = cut(z.join(p.withColumnRenamed("v", "x"), self.keys).selectExpr(*self.keys, f"v + {num(beta)} * x AS v"))
         return self.volume

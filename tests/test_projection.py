@@ -148,7 +148,7 @@ def test_elementwise_and_tools(spark):
     assert arrays.to_array(elementwise.data_op(" $1 .* s1", o, s=3), (2, 2)).tolist() == [[3, 0], [6, -3]]
     with pytest.raises(ValueError, match="no data operation"):
         elementwise.data_op("$1 ^ s1", o)
-    assert elementwise.clip_circle(o, 2)[1].first()[0] == 4
+    assert elementwise.clip_circle(o, 2)[1].first()[0] == 0 and elementwise.clip_circle(arrays.from_array(spark, np.ones((4, 4)), "vol2d").where("r > 0"), 4)[1].first()[0] == 4
     assert tools.ray_order("randomray", 2, 2, 1) != tools.ray_order("sequential", 2, 2)
     noisy = phantoms.add_noise(arrays.from_array(spark, [[1.0, 2.0]], "sino2d"), 1e6, 3)
     assert arrays.to_array(noisy, (1, 2))[0] == pytest.approx([1, 2], abs=0.05)
@@ -175,3 +175,92 @@ def test_dense_blocks_agree(spark, box, kernel):
         a, b = dense.sirt(spark, PAR, V, kernel, full, 3), recon.SIRT(p, full).run(3)
         assert arrays.to_array(a, V.shape) == pytest.approx(arrays.to_array(b, V.shape), abs=1e-9)
         p.release()
+
+
+def test_dense_and_joins_on_a_sparse_sinogram(spark, box):
+    """A third of the rays and one view absent, one value null: both ways leave those rays out, and give the same."""
+    from radonlake.plans import dense
+
+    for kernel in ("strip", "linear"):
+        p = Projector(spark, PAR, V, kernel)
+        rays = arrays.from_array(spark, arrays.to_array(p.fp(box), PAR.shape), "sino2d")
+        sparse = rays.where("(a * 24 + d) % 3 <> 1 AND a <> 4").selectExpr("a", "d", "CASE WHEN a = 2 AND d = 12 THEN NULL ELSE p END AS p").cache()
+        a = arrays.to_array(dense.sirt(spark, PAR, V, kernel, sparse, 3), V.shape)
+        joined = recon.SIRT(p, sparse.where("p IS NOT NULL"))
+        assert a == pytest.approx(arrays.to_array(joined.run(3), V.shape), abs=1e-9)
+        joined.release()
+        assert p._held is None
+
+
+@pytest.mark.parametrize("angles", [[0.3, 1.2, 2.9], [0.0], [math.pi / 2, math.pi, 4.0]])
+def test_strips_without_weights(angles):
+    """Sums by shared edges are those of the weights, both ways, also for rays along an axis and pixels that aren't square."""
+    from radonlake.plans import dense
+
+    v = geo.create_vol_geom(9, 14, -7, 7, -6, 7.5)
+    g = geo.create_proj_geom("parallel", 0.8, 31, angles)
+    r = np.random.default_rng(1)
+    image, ray = r.random((9, 14)), r.random(31)
+    for view in g.views:
+        own, slow = dense.Strips(view, v, 31), dense.Weighted(view, v, 31, "strip")
+        assert own.forward(image) == pytest.approx(slow.forward(image), abs=1e-9)
+        assert np.ravel(own.back(ray)) == pytest.approx(np.ravel(slow.back(ray)), abs=1e-9)
+
+
+def test_short_scans_to_one(spark, box):
+    """The scale of short scans: a box of ones comes out at one, in a fan and in a cone, whichever way the scan turns."""
+    half = math.atan(1.2 * 16 / 80)
+    for sign in (1, -1):
+        turn = math.pi + 2 * half + 0.1
+        g = geo.create_proj_geom("fanflat", 1.2, 32, [0.4 + sign * turn * k / 40 for k in range(40)], 60.0, 20.0)
+        sino = Projector(spark, g, V, "line_fanflat").fp(box)
+        assert arrays.to_array(recon.fbp_pixel(spark, g, V, sino, short=True), V.shape)[6:10, 5:11].mean() == pytest.approx(1, abs=0.05)
+    v = geo.create_vol_geom(8, 8, 8)
+    x = np.zeros(v.shape)
+    x[2:6, 2:6, 2:6] = 1.0
+    turn = math.pi + 2 * math.atan(6 / 50) + 0.1
+    g = geo.create_proj_geom("cone", 1.0, 1.0, 12, 12, [turn * k / 24 for k in range(24)], 40.0, 10.0)
+    for one in (g, geo.geom_postalignment(g, (0.0, 1.0))):
+        sino = pd3.fp_3d(spark, one, v, arrays.from_array(spark, x, "vol3d"))
+        found = arrays.to_array(recon.fdk(spark, one, v, arrays.from_array(spark, arrays.to_array(sino, one.shape), "sino3d"), short=True), v.shape)
+        assert found[3:5, 3:5, 3:5].mean() == pytest.approx(1, abs=0.05)
+
+
+def test_blob_weights_one_by_one(spark):
+    """Oblique views and pixels that aren't square, against a loop over the pixels of each row or column that a ray walks over."""
+    size, table = 1.5, list(blob_table())
+    v, g = geo.create_vol_geom(5, 7, -7, 7, -4, 4), geo.create_proj_geom("parallel", 1.7, 9, [0.3, 1.1, 2.2])
+    px, py = v.pixel
+    want = {}
+    for a, (ex, ey, dx, dy, ux, uy) in enumerate(g.views):
+        for d in range(9):
+            x, y, norm = dx + (d + 0.5) * ux, dy + (d + 0.5) * uy, math.hypot(ex, ey)
+            steep = abs(ex) < abs(ey)
+            for k in range(5 if steep else 7):
+                if steep:
+                    t, scale, n = (x + (4 - py / 2 - k * py - y) * ex / ey + 7 - px / 2) / px, py * abs(ey) / (size * norm), 7
+                else:
+                    t, scale, n = (4 - py / 2 - y - (-7 + px / 2 + k * px - x) * ey / ex) / py, px * abs(ex) / (size * norm), 5
+                for q in range(max(0, int(t - 0.5 - size)), min(n - 1, int(t + 0.5 + size)) + 1):
+                    want[a, d, *((k, q) if steep else (q, k))] = table[min(19, int(abs(t - q) * scale * 20 + 0.5))]
+    got = {(x.a, x.d, x.r, x.c): x.w for x in Projector(spark, g, v, "blob", blob=(size, table)).matrix().collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_noise_is_poisson():
+    keys = [np.arange(200_000), np.arange(200_000) % 7]
+    for mean in (0.3, 4.0, 60.0, 250.0, 1e5):
+        n = phantoms.poisson(np.full(200_000, mean), keys, 5)
+        assert n.mean() == pytest.approx(mean, rel=0.02, abs=0.01) and n.var() == pytest.approx(mean, rel=0.03)
+        assert (n == phantoms.poisson(np.full(200_000, mean), keys, 5)).all() and (n != phantoms.poisson(np.full(200_000, mean), keys, 6)).any()
+
+
+def test_tools():
+    assert tools.linspace2(1.0, 3.0, 4) == [1.0, 1.5, 2.0, 2.5]
+    values = tools.kaiser_bessel([0.0, 1.0, 2.0, 2.1], 10.4, 2.0, 2)
+    assert values[0] == 1.0 and 0 < values[1] < 0.2 and values[2:] == [0.0, 0.0]
+    assert V.moved(3.0, 4.0, absolute=True).moved(1.0, 1.0, absolute=True).window == (-7.0, 9.0, -7.0, 9.0)
+    with pytest.raises(ValueError, match="origin"):
+        geo.circular_fan(geo.create_proj_geom("fanflat_vec", 8, [[3.0, -40.0, 0.0, 15.0, 1.0, 0.0]]))
+    with pytest.raises(ValueError, match="upright"):
+        geo.circular_cone(geo.create_proj_geom("cone_vec", 8, 8, [[0, -40, 0, 0, 15, 0, 1, 0, 0.5, 0, 0, 1]]))
