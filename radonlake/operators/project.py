@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.arrays import filled
 from . import pixel_driven as pd3
 from .geometry import Projection, Volume
-from .weights import rays_of, weights
+from .weights import project_lines, rays_of, weights
 
 RAY, PIXEL = ["a", "d"], ["r", "c"]
 
@@ -45,6 +45,10 @@ class Projector:
     def fp(self, volume: DataFrame, rays: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
         """p = W v, for each ray that meets the volume. mask: (r, c, v), pixels that count where v isn't 0."""
         source = masked(volume, mask, PIXEL)
+        if self._held is None and self.kernel != "sparse_matrix":
+            found = project_lines(self.spark, self.g, self.v, self.kernel, source, rays, self.subrays, self.blob)
+            if found is not None:
+                return found
         return self.matrix(rays).join(source.select("r", "c", "v"), PIXEL).groupBy("a", "d").agg(F.sum(F.col("w") * F.col("v")).alias("p"))
 
     def bp(self, sino: DataFrame, mask: DataFrame | None = None, ray_mask: DataFrame | None = None) -> DataFrame:

@@ -7,8 +7,10 @@ other axis, and a kernel gives the weights of the pixels near t. Nothing is stor
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import num
 from .geometry import Projection, Volume
@@ -39,9 +41,10 @@ def ray_columns(g: Projection, v: Volume, subrays: int = 1) -> list[tuple[str, .
     ]
 
 
-def _area(x: str, s: str, t: str) -> str:
-    """Share of a pixel left of a line at x from its centre; s and t: half widths of the flat part and of all."""
-    return f"CASE WHEN {x} >= {t} THEN 1e0 WHEN {x} > {s} THEN 1e0 - ({t} - {x}) * ({t} - {x}) / (2e0 * ({t} - {s})) WHEN {x} > -{s} THEN 0.5e0 + {x} WHEN {x} > -{t} THEN ({x} + {t}) * ({x} + {t}) / (2e0 * ({t} - {s})) ELSE 0e0 END"
+def _flat(x: str) -> str:
+    """Share of a pixel left of a line of slope m, at most 1, that crosses its middle row at x, less a half."""
+    near = f"least(abs({x}), (1e0 + abs(m)) / 2e0)"
+    return f"sign({x}) * ({near} - pow(greatest({near} - (1e0 - abs(m)) / 2e0, 0e0), 2e0) / greatest(2e0 * abs(m), 1e-300))"
 
 
 def _beside(x: str, m: str) -> str:
@@ -61,7 +64,8 @@ def candidates(kernel: str, v: Volume, reach: float = 0.0) -> tuple[str, str]:
         return f"greatest(0e0, t - {num(0.5 + reach)})", f"t + {num(0.5 + reach)}"
     if kernel == "strip_fanflat":
         return "floor(least(t, t1) - 0.5e0 - greatest(abs(m), abs(m1)) / 2e0)", "ceil(greatest(t, t1) + 0.5e0 + greatest(abs(m), abs(m1)) / 2e0)"
-    return "floor(t - half - 1e0)", "ceil(t + half + 1e0)"
+    edge = "half + 0.5e0" + (" + abs(m) / 2e0" if kernel == "strip" else "")
+    return f"ceil(t - ({edge}))", f"floor(t + {edge})"
 
 
 def weight(kernel: str, v: Volume, blob: tuple[float, list[float]] | None = None, g: Projection | None = None) -> str:
@@ -73,8 +77,7 @@ def weight(kernel: str, v: Volume, blob: tuple[float, list[float]] | None = None
     if kernel in ("linear", "cuda"):
         return "len * (1e0 - abs(o))"
     if kernel == "strip":
-        left, right = "(o - half)", "(o + half)"
-        return f"CASE WHEN m = 0e0 THEN greatest(0e0, least({right}, 0.5e0) - greatest({left}, -0.5e0)) ELSE ({_area(right, s, t)}) - ({_area(left, s, t)}) END * {area} / width"
+        return f"(({_flat('(o + half)')}) - ({_flat('(o - half)')})) * {area} / width"
     if kernel == "strip_fanflat":
         source = sum(g.distances)
         du = (g.views[0][4] ** 2 + g.views[0][5] ** 2) ** 0.5
@@ -116,6 +119,29 @@ def rays_of(spark: SparkSession, g: Projection, subrays: int = 1) -> DataFrame:
     return rays if subrays == 1 else rays.selectExpr("*", f"explode(sequence(0, {subrays - 1})) AS s")
 
 
+def walked(spark: SparkSession, g: Projection, v: Volume, kernel: str, rays: DataFrame | None, subrays: int, own: list[str]) -> DataFrame:
+    """The rays with their walk: a row for each step k, with the place t there (and of a fan strip's other edge, t1)."""
+    if kernel == "strip_fanflat" and subrays > 1:
+        raise ValueError("a strip takes in the whole detector pixel")
+    if kernel == "strip_fanflat" and g.kind != "fanflat":
+        raise ValueError("the fan strip kernel takes a fanflat geometry")
+    if rays is None:
+        df = rays_of(spark, g, subrays)
+    else:
+        df = rays.join(F.broadcast(g.table(spark)), "a")  # a row for each view
+        df = df if subrays == 1 else df.selectExpr("*", f"explode(sequence(0, {subrays - 1})) AS s")
+    fan_strip = kernel == "strip_fanflat"
+    for stage in edge_columns(g, v) if fan_strip else ray_columns(g, v, subrays):
+        df = df.selectExpr(*stage) if stage[0] == "*" else df.selectExpr(*own, *(y.strip() for x in stage for y in ([x] if " AS " in x else x.split(","))))
+    return df.selectExpr("*", "explode(sequence(0, steps - 1)) AS k").selectExpr("*", "t0 + k * dt AS t", *(["t01 + k * dt1 AS t1"] if fan_strip else []))
+
+
+def weight_form(kernel: str, v: Volume, blob: tuple[float, list[float]] | None, g: Projection) -> str:
+    if kernel == "blob":
+        return f"element_at(array({', '.join(map(num, blob[1]))}), {blob_index(v, blob)})"
+    return weight(kernel, v, blob, g)
+
+
 def weights(spark: SparkSession, g: Projection, v: Volume, kernel: str = "linear", rays: DataFrame | None = None, subrays: int = 1, blob: tuple[float, list[float]] | None = None, keep: str = "") -> DataFrame:
     """W(a, d, r, c, w) of all rays, or of those in rays (a, d[, keep]); without a shuffle.
 
@@ -127,39 +153,64 @@ def weights(spark: SparkSession, g: Projection, v: Volume, kernel: str = "linear
         n = v.cols
         found = g.matrix.selectExpr(f"CAST(row DIV {g.cols} AS INT) AS a", f"CAST(row % {g.cols} AS INT) AS d", f"CAST(col DIV {n} AS INT) AS r", f"CAST(col % {n} AS INT) AS c", "val AS w")
         return found if rays is None else found.join(rays, ["a", "d"])
-    if kernel == "strip_fanflat" and subrays > 1:
-        raise ValueError("a strip takes in the whole detector pixel")
-    if kernel == "strip_fanflat" and g.kind != "fanflat":
-        raise ValueError("the fan strip kernel takes a fanflat geometry")
-    if rays is None:
-        all_rays = rays_of(spark, g, subrays)
-    else:
-        all_rays = rays.join(g.table(spark), "a")
-        all_rays = all_rays if subrays == 1 else all_rays.selectExpr("*", f"explode(sequence(0, {subrays - 1})) AS s")
-    fan_strip = kernel == "strip_fanflat"
-    stages = edge_columns(g, v) if fan_strip else ray_columns(g, v, subrays)
-    df = all_rays
     own = [x.strip() for x in keep.split(",") if x.strip()]
-    for stage in stages:
-        df = df.selectExpr(*stage) if stage[0] == "*" else df.selectExpr(*own, *(y.strip() for x in stage for y in ([x] if " AS " in x else x.split(","))))
-    df = df.selectExpr("*", "explode(sequence(0, steps - 1)) AS k").selectExpr("*", "t0 + k * dt AS t", *(["t01 + k * dt1 AS t1"] if fan_strip else []))
-    reach = blob[0] if blob else 0.0
-    low, high = candidates(kernel, v, reach)
-    if kernel == "blob":
-        df = df.where(f"CAST({low} AS INT) <= CAST({high} AS INT)")
+    df = walked(spark, g, v, kernel, rays, subrays, own)
+    low, high = candidates(kernel, v, blob[0] if blob else 0.0)
+    df = df.where(f"CAST({low} AS INT) <= CAST({high} AS INT)")
     df = df.selectExpr("*", f"explode(sequence(CAST({low} AS INT), CAST({high} AS INT))) AS q").where(f"q >= 0 AND q < CASE WHEN steep THEN {v.cols} ELSE {v.rows} END")
     df = df.selectExpr("*", "t - q AS o")
-    if kernel == "blob":
-        size, table = blob
-        array = "array(" + ", ".join(map(num, table)) + ")"
-        expr = f"element_at({array}, {blob_index(v, blob)})"
-    else:
-        expr = weight(kernel, v, blob, g)
     scale = f" / {num(subrays)}" if subrays > 1 else ""
-    out = df.selectExpr("a", "d", "CASE WHEN steep THEN k ELSE q END AS r", "CASE WHEN steep THEN q ELSE k END AS c", f"({expr}){scale} AS w", *own)
+    out = df.selectExpr("a", "d", "CASE WHEN steep THEN k ELSE q END AS r", "CASE WHEN steep THEN q ELSE k END AS c", f"({weight_form(kernel, v, blob, g)}){scale} AS w", *own)
     return out.where("w <> 0e0")
 
 
+#: Cells of a volume whose lines are sent to all executors (twice, as rows and as columns); larger ones are joined by line.
+MOST_SENT = 4_000_000
+
+
+def most_candidates(g: Projection, kernel: str, reach: float, v: Volume) -> int | None:
+    """How many pixels of a step may have weight at most, where that follows from the views."""
+    if kernel in ("linear", "cuda"):
+        return 2
+    if kernel in ("line", "line_fanflat"):
+        return 3
+    if kernel == "blob":
+        return int(2 * (0.5 + reach)) + 2
+    if g.diverges:
+        return None
+    px, py = v.pixel[:2]
+    half = max(abs((ux - uy * ex / ey) / px) if abs(ex) < abs(ey) else abs((uy - ux * ey / ex) / py) for ex, ey, _, _, ux, uy in g.views) / 2
+    return int(2 * half + (2 if kernel == "strip" else 1)) + 1
+
+
+def project_lines(spark: SparkSession, g: Projection, v: Volume, kernel: str, volume: DataFrame, rays: DataFrame | None, subrays: int, blob: tuple[float, list[float]] | None) -> DataFrame | None:
+    """(a, d, p) of a volume (r, c, v): each step of a ray meets the line of pixels that it crosses as one array, so that W is neither exploded by pixel nor shuffled.
+
+    Sums are made by ray before the shuffle. None for kernels whose pixels of a step have no bound.
+    """
+    n = most_candidates(g, kernel, blob[0] if blob else 0.0, v)
+    if n is None or n > 12:
+        return None
+    cells = volume.groupBy("r", "c").agg(F.sum("v").alias("v"))
+
+    def lines(by: str, across: str, steep: bool, wide: int) -> DataFrame:
+        packed = cells.groupBy(F.col(by).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(across, "v"))).alias("m"))
+        return packed.selectExpr("k", f"{str(steep).lower()} AS steep", f"transform(sequence(0, {wide - 1}), q -> m[q]) AS xs")
+
+    table = lines("r", "c", True, v.cols).unionByName(lines("c", "r", False, v.rows))
+    df = walked(spark, g, v, kernel, rays, subrays, [])
+    low, high = candidates(kernel, v, blob[0] if blob else 0.0)
+    df = df.selectExpr("*", f"CAST({low} AS INT) AS q0", f"CAST({high} AS INT) AS q1").where(f"q1 >= 0 AND q0 < CASE WHEN steep THEN {v.cols} ELSE {v.rows} END AND q0 <= q1")
+    df = df.join(F.broadcast(table) if v.rows * v.cols <= MOST_SENT else table, ["steep", "k"])
+    form = weight_form(kernel, v, blob, g)
+    terms = [re.sub(r"\bq\b", f"(q0 + {j})", re.sub(r"\bo\b", f"(t - (q0 + {j}))", form)) for j in range(n)]
+    df = df.selectExpr("a", "d", *(f"CASE WHEN q0 + {j} <= q1 AND q0 + {j} >= 0 THEN get(xs, q0 + {j}) END AS x{j}" for j in range(n)), *(f"{term} AS w{j}" for j, term in enumerate(terms)))
+    hit = " OR ".join(f"(x{j} IS NOT NULL AND w{j} <> 0e0)" for j in range(n))
+    part = " + ".join(f"coalesce(w{j} * x{j}, 0e0)" for j in range(n))
+    sums = df.where(hit).groupBy("a", "d").agg(F.sum(F.expr(part)).alias("p"))
+    return sums if subrays == 1 else sums.select("a", "d", (F.col("p") / float(subrays)).alias("p"))
+
+
 @functools.lru_cache(64)
 def blob_table(n: int = 20, shape: float = 2.0) -> tuple[float, ...]:
     """A smooth kernel from its centre to its edge, for tests and queries."""

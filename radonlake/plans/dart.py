@@ -30,8 +30,12 @@ def schedule(values: dict[str, list[float]], k: int) -> dict[str, float]:
     return {name: x[min(k, len(x) - 1)] for name, x in values.items()}
 
 
-def dart(projector: Projector, sino: DataFrame, levels: list[float], thresholds: list[float], iterations: int = 2, first: int = 10, inner: int = 3, smoothing: float = 0.1, free: float = 0.0, seed: int = 0, adapt: dict[str, list[float]] | None = None) -> DataFrame:
-    """Iterations of the method from a SIRT start. free: share of pixels outside the border that are updated too, by a hash of their place."""
+def dart(projector: Projector, sino: DataFrame, levels: list[float], thresholds: list[float], iterations: int = 2, first: int = 10, inner: int = 3, smoothing: float = 0.1, free: float = 0.0, seed: int = 0, adapt: dict[str, list[float]] | None = None, linear: bool = True) -> DataFrame:
+    """Iterations of the method from a SIRT start. free: share of pixels outside the border that are updated too, by a hash of their place.
+
+    linear: the fixed pixels' projections are taken off the sinogram and the border is reconstructed from the rest; otherwise all pixels are projected, and the border alone
+    changes, which also suits projections that aren't linear in the image. adapt: values of smoothing and free by iteration.
+    """
     own = SIRT(projector, sino)
     volume = own.run(first)
     for k in range(iterations):
@@ -41,14 +45,25 @@ def dart(projector: Projector, sino: DataFrame, levels: list[float], thresholds:
         chance = F.pmod(F.xxhash64("r", "c", F.lit(seed + k)), F.lit(1_000_000)) < int(now["free"] * 1_000_000)
         border = cut(border.withColumn("v", F.when(chance, 1.0).otherwise(F.col("v"))))
         fixed = flat.join(border.where("v = 0").select("r", "c"), ["r", "c"], "left_semi")
-        rest = projector.residual(sino, fixed)
-        start = volume.join(border.withColumnRenamed("v", "m"), ["r", "c"]).selectExpr("r", "c", "CASE WHEN m <> 0e0 THEN v ELSE 0e0 END AS v")
+        rest = projector.residual(sino, fixed) if linear else sino
+        outside = "0e0" if linear else "s"
+        start = volume.join(border.withColumnRenamed("v", "m"), ["r", "c"]).join(flat.withColumnRenamed("v", "s"), ["r", "c"]).selectExpr("r", "c", f"CASE WHEN m <> 0e0 THEN v ELSE {outside} END AS v")
         moved = SIRT(projector, rest, start=start, mask=border).run(inner)
         merged = moved.join(border.withColumnRenamed("v", "m"), ["r", "c"]).join(flat.withColumnRenamed("v", "s"), ["r", "c"]).selectExpr("r", "c", "CASE WHEN m <> 0e0 THEN v ELSE s END AS v")
         volume = cut(stencil.smooth_padded(merged, now["smoothing"]))
+    own.release()
     return segment(volume, levels, thresholds)
 
 
+def search_all(score: Callable[..., float], ranges: dict[str, tuple[float, float]], rounds: int = 2, steps: int = 12) -> dict[str, float]:
+    """The least of a score of several named parameters, by golden section along one after the other from the middles of their ranges, rounds times over."""
+    best = {name: (low + high) / 2 for name, (low, high) in ranges.items()}
+    for _ in range(rounds):
+        for name, (low, high) in ranges.items():
+            best[name] = search(lambda x, name=name: score(**best | {name: x}), low, high, steps)
+    return best
+
+
 def search(score: Callable[[float], float], low: float, high: float, steps: int = 20) -> float:
     """The least of a score with one valley, by golden section; each try is a run."""
     g = (5**0.5 - 1) / 2

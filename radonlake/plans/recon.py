@@ -110,7 +110,10 @@ class EM(Method):
 
 
 class SART(Method):
-    """One view a step, in a given order (repeats count once), by SIRT's update on its rays."""
+    """One view a step, in a given order (repeats count once), by SIRT's update on its rays.
+
+    Each step depends on the one before it and is a job of its own, so that many views take many jobs: SIRT, CGLS and EM scale further.
+    """
 
     def __init__(self, *args, order: list[int] | None = None, **options):
         super().__init__(*args, **options)
@@ -147,7 +150,7 @@ class PixelSART(SART):
 
 
 class ART(Method):
-    """One ray a step: x += relaxation (b - <w, x>) / <w, w> w; only the ray's pixels are clamped."""
+    """One ray a step: x += relaxation (b - <w, x>) / <w, w> w; only the ray's pixels are clamped. A step is a job, for orders of some hundred rays."""
 
     def __init__(self, *args, order: list[tuple[int, int]] | None = None, **options):
         super().__init__(*args, **options)

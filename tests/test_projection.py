@@ -155,13 +155,39 @@ def test_elementwise_and_tools(spark):
     assert dart.search(lambda x: (x - 0.3) ** 2, 0, 1) == pytest.approx(0.3, abs=1e-3)
 
 
-def test_dart_finds_levels(spark, box):
+@pytest.mark.parametrize("linear", [True, False])
+def test_dart_finds_levels(spark, box, linear):
     p = Projector(spark, PAR, V)
-    found = arrays.to_array(dart.dart(p, p.fp(box), [0.0, 1.0], [0.5], 1, 6, 2), V.shape)
+    found = arrays.to_array(dart.dart(p, p.fp(box), [0.0, 1.0], [0.5], 1, 6, 2, adapt={"smoothing": [0.1, 0.05]}, linear=linear), V.shape)
     assert set(np.unique(found)) <= {0.0, 1.0} and np.abs(found - BOX).sum() <= 6
     p.release()
 
 
+def test_search_and_schedule():
+    assert dart.schedule({"a": [1.0, 2.0], "b": [5.0]}, 3) == {"a": 2.0, "b": 5.0}
+    found = dart.search_all(lambda x, y: (x - 0.3) ** 2 + (y + 1 + x) ** 2, {"x": (0, 1), "y": (-3, 3)}, rounds=12)
+    assert found["x"] == pytest.approx(0.3, abs=0.02) and found["y"] == pytest.approx(-1.3, abs=0.02)
+
+
+def test_settings_in_one_object(spark, box):
+    from radonlake.plans.tomography import IterativeTomography
+
+    own = IterativeTomography(spark, PAR, V, "CGLS", inner_circle=False)
+    sino = own.project(box).cache()
+    assert arrays.to_array(own.reconstruct(sino, 6), V.shape)[6:10, 5:11].mean() == pytest.approx(1, abs=0.05)
+    half = arrays.from_array(spark, (np.arange(256).reshape(16, 16) % 16 < 8).astype(float), "vol2d")
+    part = arrays.to_array(IterativeTomography(spark, PAR, V, "SIRT", use_minc=True, inner_circle=False).reconstruct_mask(sino, half, 1), V.shape)
+    assert (part[:, 8:] == 0).all() and part.min() >= 0 < part[:, :8].sum()
+    fine = IterativeTomography(spark, PAR, superresolution=2, image_size=(16, 16))
+    assert fine.v.shape == (32, 32) and fine.v.window == V.window
+    twice = arrays.from_array(spark, np.kron(BOX, np.ones((2, 2))), "vol2d")
+    got, want = arrays.to_array(fine.project(twice), PAR.shape), arrays.to_array(sino, PAR.shape)
+    assert got.sum() == pytest.approx(want.sum(), rel=0.05)
+    assert arrays.to_array(fine.reconstruct(sino, 1), (32, 32))[0, 0] == 0
+    with pytest.raises(ValueError, match="no method"):
+        IterativeTomography(spark, PAR, V, "FBP")
+
+
 @pytest.mark.parametrize("kernel", ["line", "linear", "strip", "distance_driven"])
 def test_dense_blocks_agree(spark, box, kernel):
     from radonlake.plans import dense
