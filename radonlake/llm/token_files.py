@@ -10,13 +10,13 @@ Shards are rows of a Parquet table, which Spark writes to and reads from any sto
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +25,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from . import common
+from .bpe import Words, byte_alphabet
 
 FILE, END_ID = "word_bpe_49k.json", 2
 #: Ids of a shard, about; how often a pair must be there to give way (6 to 12 give the smallest files: rarer pairs save less than their rules take); size of the table of pairs.
-SHARD_IDS, LEAST, TABLE_BITS = 1_000_000, 8, 20
+SHARD_IDS, LEAST, TABLE_BITS = 1_000_000, 8, 18
 #: Texts with these are encoded whole by the library: special tokens, and separators that Python alone takes for white space.
-WHOLE = re.compile("<\\||[\x1c-\x1f]")
-#: Words kept with their ids, characters of such a word at most, misses after which the words start afresh, characters encoded at once.
-CACHE_WORDS, CACHE_CHARS, RENEW, AT_ONCE = 500_000, 32, 8, 1 << 21
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: The file's pattern on lower-case ASCII words.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Stands for a null doc_id, below all others.
 NO_ID = -(1 << 63)
 MAGIC, HEAD = b"RPG2", "<4sIIIIQQ"
 
 
+def lower_ascii(text: str) -> str:
+    """The text with A-Z lower-cased, which the library does too, so that words meet whatever their case.
+
+    The library composes characters first. All marks that compose with an ASCII character are in U+0300 to U+036F, whose UTF-8 begins with CC or CD; a text
+    with such bytes stays as it is.
+    """
+    if text.isascii():
+        return text.lower()
+    data = text.encode()
+    return text if b"\xcc" in data or b"\xcd" in data else data.lower().decode()
+
+
 class WordCoder:
     """Ids as little-endian 16-bit numbers, as the tokenizers library gives them.
 
     The file's normalizer makes white space one space and its pattern drops it, so that a text's ids are those of its words one after the
-    other. Every word is encoded by the library itself; the ids of words that were met are kept. A stop or comma after an ASCII
-    letter or digit is a piece by itself at a word's end, so that the word before it is looked up without it.
+    other. Words with any character outside ASCII are encoded by the library itself. ASCII words, whose normalization and pieces follow from
+    letters, digits and other characters alone, take compiled merges of the same vocabulary: a word's end is one more byte, 255, and merges go by the id
+    of what they make, which the file's merges do too (checked: each makes another token, in ascending order of ids). Both ways are compared at start-up
+    on every pair of ASCII characters and on what the pattern names; should any differ, all words are left to the library. The ids of words that were met
+    are kept.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
@@ -55,54 +72,43 @@ class WordCoder:
         self.base = self.own.get_vocab_size(with_added_tokens=True)
         if self.base > 1 << 16:
             raise ValueError(f"ids of {path} take more than 16 bits")
-        self.words: dict[str, bytes] = {}
-        self.missed = 0
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        vocab, alphabet, end = made["model"]["vocab"], byte_alphabet(), made["model"].get("end_of_word_suffix") or ""
+        merged = [vocab["".join(x.split(" ") if isinstance(x, str) else x)] for x in made["model"]["merges"]]
+        special = {x["content"] for x in made["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end): i for token, i in vocab.items() if token not in special}
+        self.bpe = tiktoken._tiktoken.CoreBPE(ranks | {b"\xff": self.base}, {}, r"\S+")
+        plain = [chr(x) for x in range(33, 127) if not chr(x).isupper()]
+        probes = [a + b for a in plain for b in plain] + [f"{a}{x}{b}" for a in "a1'!" for x in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "''", "'r") for b in "a1'!"]
+        self.merges = bool(end) and merged == sorted(set(merged)) and [self.by_merges(x) for x in probes] == self.by_library(probes)
         self.tails = {x: self.by_library([x])[0] for x in ".,"}
+        self.words = Words(self.word, {})
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word that isn't known. A stop or comma after an ASCII letter or digit is a piece by itself at its end, so that the word before it is looked up without it."""
+        if word[-1] in self.tails and word[-2:-1].isascii() and word[-2:-1].isalnum():
+            return self.words[word[:-1]] + self.tails[word[-1]]
+        if self.merges and word.isascii():
+            return self.by_merges(word)
+        return array("H", self.own.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def by_merges(self, word: str) -> bytes:
+        word = word.lower()
+        if word.isalpha():  # one piece
+            return array("H", self.bpe.encode_single_piece(word.encode() + b"\xff")).tobytes()
+        ids: list[int] = []
+        for piece in PIECES.findall(word):
+            ids += self.bpe.encode_single_piece(piece.encode() + b"\xff")
+        return array("H", ids).tobytes()
 
     def by_library(self, words: list[str]) -> list[bytes]:
         return [array("H", x.ids).tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
 
-    def take_in(self, words: set[str]) -> list[str]:
-        """Adds the ids of words that aren't known; gives back those that aren't to be kept."""
-        new = [w for w in words if w not in self.words]
-        bare = {w: w[:-1] if w[-1] in self.tails and w[-2:-1].isascii() and w[-2:-1].isalnum() else w for w in new}
-        missing = list({x for x in bare.values() if x not in self.words})
-        self.words.update(zip(missing, self.by_library(missing), strict=True))
-        for w, x in bare.items():
-            if x is not w:
-                self.words[w] = self.words[x] + self.tails[w[-1]]
-        added = new + [x for x in missing if x not in bare]
-        if len(self.words) <= CACHE_WORDS:
-            return [w for w in added if len(w) > CACHE_CHARS]
-        self.missed += len(added)
-        return added
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; some AT_ONCE characters are encoded at a time."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
-                size += len(texts[end])
-                end += 1
-            part = texts[at:end]
-            whole = [bool(WHOLE.search(t)) for t in part]
-            split = [() if w else (t.lower() if t.isascii() else t).split() for t, w in zip(part, whole, strict=True)]
-            drop = self.take_in(set(chain.from_iterable(split)))
-            get = self.words.__getitem__
-            out += [array("H", self.own.encode(t, add_special_tokens=False).ids).tobytes() if w else b"".join(map(get, words)) for t, w, words in zip(part, whole, split, strict=True)]
-            if self.missed > RENEW * CACHE_WORDS:
-                self.words.clear()
-                self.missed = 0
-            else:
-                for w in drop:
-                    self.words.pop(w, None)
-            at = end
-        return out
-
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        if any(x in text for x in WHOLE):
+            return array("H", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, lower_ascii(text).split()))
 
 
 @functools.lru_cache(2)
@@ -138,8 +144,11 @@ def frequent(seq: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray,
         keys, shift = seq[:-1] << np.uint32(16) | seq[1:], 16
     else:
         keys, shift = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], 32
+    place = hashed(keys)
     free = ~last[seq[:-1]] & every_other(keys)
-    ordered = np.sort(keys[free])
+    at = np.flatnonzero(free & (np.bincount(place[free], minlength=1 << TABLE_BITS) >= least)[place])  # all places of frequent pairs, and some others
+    here = keys[at]
+    ordered = np.sort(here)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
     counts = np.diff(starts, append=len(ordered))
     often = np.flatnonzero(counts >= least)
@@ -148,10 +157,10 @@ def frequent(seq: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     table = np.full(1 << TABLE_BITS, -1, np.int32)
     np.maximum.at(table, hashed(pairs), np.arange(len(pairs), dtype=np.int32))
-    number = table[hashed(keys)]
-    at = np.flatnonzero((number >= 0) & free)
-    number = number[at]
-    there = pairs[number] == keys[at]
+    number = table[place[at]]
+    there = number >= 0
+    at, number, here = at[there], number[there], here[there]
+    there = pairs[number] == here
     wide = pairs.astype(np.uint64)
     return at[there], number[there], (wide >> np.uint64(shift)) << np.uint64(32) | wide & np.uint64((1 << shift) - 1)
 
@@ -336,7 +345,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
             low, bucket = np.searchsorted(bounds, place, "left"), np.searchsorted(bounds, place, "right")
             for k in np.flatnonzero(bucket - low > 1).tolist():
                 bucket[k] = low[k] + 1 + zlib.crc32(texts[k].encode()) % int(bucket[k] - low[k])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids, pa.array([x + end for x in own.encode_all(texts)], pa.binary())], ["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids, pa.array([own.encode(x) + end for x in texts], pa.binary())], ["bucket", "doc_id", "ids"])
 
     def shards(batches):
         base = coder(path).base
